@@ -1,0 +1,27 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component): component is the smallest id that is reachable. edges: (a long, b long), in either direction.
+
+    Each round every node takes the smallest label among itself and its neighbours, and then its label's label; rounds
+    end when no label changes. A hub is no single row's or task's burden: minima are combined before they are shuffled.
+    Every round is written to the shared folder.
+    """
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("c").alias("m"))
+        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        up = labels.select(F.col("id").alias("k"), F.col("c").alias("up"))
+        new = stored(step.join(up, F.col("c") == F.col("k"), "left").select("id", "old", F.least("c", "up").alias("c")), "labels")
+        if not new.where("old <> c").limit(1).count():
+            return new.select("id", F.col("c").alias("component"))
+        labels = new.select("id", "c")
