@@ -35,6 +35,8 @@ OFFSETS = np.concatenate(([0], np.cumsum(CONTEXTS))) * NODES
 SLOTS = int(OFFSETS[-1])
 CHUNK = 4096
 BLOCK = 32
+#: Documents that a task holds as arrays at once.
+DOCS = 256
 RATE, MAP_RATE, MAP_CELLS = 0.002, 0.02, 24
 HEAD = 100_000
 END = b"\n"
@@ -78,25 +80,25 @@ def _train(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), -1, np.int32)), pa.array(hs.view(np.int64)), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.binary())], names=names)
 
     for b in batches:
-        flat = []
-        for t in b.column(0).to_pylist():
-            w = words_of(t)
-            words.update(w)
-            words[END] += 1
-            flat.append(token_arrays(w, hashes))
-        if flat:
+        for part in range(0, b.num_rows, DOCS):
+            flat = []
+            for t in b.column(0).slice(part, DOCS).to_pylist():
+                w = words_of(t)
+                words.update(w)
+                words[END] += 1
+                flat.append(token_arrays(w, hashes))
             h = np.concatenate([x[0] for x in flat])
             ctx = np.concatenate([x[1] for x in flat], axis=1)
-            for i in range(0, len(h), 1 << 18):
-                nodes, bits = nodes_and_bits(h[i : i + (1 << 18)])
+            for i in range(0, len(h), 1 << 16):
+                nodes, bits = nodes_and_bits(h[i : i + (1 << 16)])
                 code = nodes * 2 + bits
                 for k in range(K):
                     lo, hi = OFFSETS[k], OFFSETS[k + 1]
-                    at = (ctx[k, i : i + (1 << 18), None] - lo) * 2 + code
+                    at = (ctx[k, i : i + (1 << 16), None] - lo) * 2 + code
                     tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
-        if len(words) > 200_000:
-            yield counted()
-            words.clear()
+            if len(words) > 200_000:
+                yield counted()
+                words.clear()
     yield counted()
     chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
     chunks = [(c, x) for c, x in chunks if x.any()]
@@ -180,18 +182,16 @@ def _score(shared):
         model, hashes = shared.value, WordHashes()
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                docs, out = [], []
-                for t in texts[i : i + 512]:
-                    docs.append(token_arrays(words_of(t), hashes))
+            for part in range(0, b.num_rows, DOCS):
+                ids, texts = (b.column(k).slice(part, DOCS).to_pylist() for k in (0, 1))
+                docs, out = [token_arrays(words_of(t), hashes) for t in texts], []
                 bits = _class_bits(model, docs)
                 for j, (h, _) in enumerate(docs):
                     u, n = np.unique(h, return_counts=True)
                     at = np.minimum(np.searchsorted(model.hashes, u), max(len(model.hashes) - 1, 0))
                     known = model.hashes[at] == u if len(model.hashes) else np.zeros(len(u), bool)
                     k, at = n[known], at[known]
-                    out.append((row, ids[i + j], len((texts[i + j] or "").encode("utf-8", "surrogatepass")), len(h), int(k.sum()), float((k * model.base[at]).sum()), float((k * model.own[at]).sum()) + float(bits[j]), u[~known].view(np.int64), n[~known]))
+                    out.append((row, ids[j], len((texts[j] or "").encode("utf-8", "surrogatepass")), len(h), int(k.sum()), float((k * model.base[at]).sum()), float((k * model.own[at]).sum()) + float(bits[j]), u[~known].view(np.int64), n[~known]))
                     row += 1
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
