@@ -41,55 +41,74 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log relative frequencies of words and n-grams; each is an array over the languages."""
+    """Log relative frequencies of words and n-grams: rows of a matrix over the languages, found by dictionaries."""
 
     def __init__(self, counts: dict[str, Counter]):
         self.langs = sorted(x for x, c in counts.items() if c)
         k = len(self.langs)
-        tables: list[defaultdict] = [defaultdict(lambda: np.zeros(k)) for _ in range(MAX_N + 1)]
+        totals: list[defaultdict] = [defaultdict(lambda: [0] * k) for _ in range(MAX_N + 1)]
         for j, lang in enumerate(self.langs):
             for word, c in counts[lang].items():
-                tables[0][word][j] += c
+                totals[0][word][j] += c
                 for n in range(1, MAX_N + 1):
                     for g in grams(word, n):
-                        tables[n][g][j] += c
-        self.tables: list[dict[str, np.ndarray]] = []
-        for t in tables:
-            total = sum(t.values(), np.zeros(k)) + 1
+                        totals[n][g][j] += c
+        self.rows: list[dict[str, int]] = []
+        parts, at = [np.zeros((1, k), np.float32)], 1  # row 0: nothing is known, no language gains
+        for t in totals:
+            v = np.array(list(t.values()), np.float64).reshape(len(t), k)
             # a word or n-gram that a language lacks counts as a third of one occurrence
-            self.tables.append({g: np.log((v + 1 / 3) / total).astype(np.float32) for g, v in t.items()})
-        self._seen: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Log score of a word in each language; None if not even its characters are known."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        if word in self._seen:
-            return self._seen[word]
-        out = None
+            parts.append(np.log((v + 1 / 3) / (v.sum(axis=0) + 1)).astype(np.float32))
+            self.rows.append({g: at + i for i, g in enumerate(t)})
+            at += len(t)
+        self.matrix = np.concatenate(parts)
+
+    def back_off(self, word: str) -> np.ndarray | None:
+        """Mean over the longest n-grams of which any is known; None if not even a character is."""
         for n in range(MAX_N, 0, -1):
-            t = self.tables[n]
+            t = self.rows[n]
             found = [t[g] for g in grams(word, n) if g in t]
             if found:
-                out = np.mean(found, axis=0)
-                break
-        if len(self._seen) > 50_000:
-            self._seen.clear()
-        self._seen[word] = out
-        return out
+                return self.matrix[found].mean(axis=0)
+        return None
+
+
+class Predictor(dict):
+    """word -> row of a task's own matrix: the model's words, then up to ``MOST`` unseen words that have been met."""
+
+    MOST = 150_000
+
+    def __init__(self, model: Model):
+        super().__init__(model.rows[0])
+        self.model, self.used = model, len(model.matrix)
+        self.scores = np.concatenate((model.matrix, np.zeros((self.MOST, len(model.langs)), np.float32)))
+
+    def __missing__(self, word: str) -> int:
+        v = self.model.back_off(word)
+        if v is None:
+            row = 0
+        else:
+            row, self.used = self.used, self.used + 1
+            self.scores[row] = v
+        self[word] = row
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text)) if text else {}
-        if not words or not self.langs:
+        words = words_of(text) if text else []
+        if not words or not self.model.langs:
             return UND, 0.0
-        total = np.zeros(len(self.langs))
-        for w, n in words.items():
-            v = self.word(w)
-            if v is not None:
-                total += v * float(n)
+        total = np.zeros(len(self.model.langs))
+        step = self.MOST // 2
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            if self.used + len(some) > len(self.scores) or len(self) > 4 * self.MOST + len(self.model.rows[0]):
+                self.clear()
+                self.update(self.model.rows[0])
+                self.used = len(self.model.matrix)
+            rows = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+            total += self.scores[rows].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+        return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
 def sample_counts(docs: DataFrame, text_col: str, lang_col: str, max_train_chars: int) -> dict[str, Counter]:
@@ -130,9 +149,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        predictor = Predictor(shared.value)
         for b in batches:
-            found = [m.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            found = [predictor.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield replace_columns(b, ("lang_pred", "score"), [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())])
 
     return docs.mapInArrow(run, schema)
