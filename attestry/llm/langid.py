@@ -76,7 +76,7 @@ class Model:
 class Predictor(dict):
     """word -> row of a task's own matrix: the model's words, then up to ``MOST`` unseen words that have been met."""
 
-    MOST = 150_000
+    MOST = 60_000
 
     def __init__(self, model: Model):
         super().__init__(model.rows[0])

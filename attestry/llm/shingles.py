@@ -11,7 +11,7 @@ _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to ``most`` words."""
 
-    most = 300_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
