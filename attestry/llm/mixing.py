@@ -18,17 +18,16 @@ repeat are scored each; long texts are read whole, in blocks; an empty table giv
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc, stored, table
-from .shingles import WordHashes, mix, words_of
+from .shingles import hash_words, mix
 
 BITS = 8
 NODES = 1 << BITS
+#: Powers of two.
 CONTEXTS = (1, 512, 512, 512, 256)
 K = len(CONTEXTS)
 OFFSETS = np.concatenate(([0], np.cumsum(CONTEXTS))) * NODES
@@ -39,31 +38,34 @@ BLOCK = 32
 DOCS = 256
 RATE, MAP_RATE, MAP_CELLS = 0.002, 0.02, 24
 HEAD = 100_000
-END = b"\n"
+#: The end token's hash.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Tokens whose hashes a task holds before it counts them.
+MERGE = 4_000_000
 _PREV2, _SKIP, _SHAPE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def _shapes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((w[-1] * 16 + min(len(w), 15) for w in words), np.uint64, len(words))
-
-
-def token_arrays(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens, and each one's context bucket in every table (K rows) as first slot numbers."""
-    h = hashes.of([*words, END])
-    zero = np.zeros(1, np.uint64)
-    p1 = np.concatenate((zero, h[:-1]))
-    p2 = np.concatenate((zero, p1[:-1]))
-    shape = np.concatenate((zero, _shapes(words)))
-    ctx = np.empty((K, len(h)), np.int64)
-    for k, v in enumerate((None, p1, p1 + p2 * _PREV2, p2 * _SKIP + np.uint64(1), shape * _SHAPE)):
-        ctx[k] = OFFSETS[k] if v is None else OFFSETS[k] + (mix(v) % np.uint64(CONTEXTS[k])).astype(np.int64) * NODES
-    return h, ctx
+def token_arrays(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the hashes of its tokens, and each token's context bucket in every table (K rows) as first slot numbers."""
+    words, shape, at = hash_words(texts)
+    n = len(texts)
+    # an end after each text, and zeros before it in the contexts
+    ends = at[1:] + np.arange(n)
+    h, shapes = np.insert(words, at[1:], END), np.insert(shape, at[1:], np.uint64(0))
+    first = ends - np.diff(at)
+    p1, p2, s1 = (np.concatenate((np.zeros(k, np.uint64), x[:-k])) for k, x in ((1, h), (2, h), (1, shapes)))
+    p1[first] = p2[first] = s1[first] = 0
+    p2[np.minimum(first + 1, ends)] = 0
+    ctx = np.empty((K, len(h)), np.int32)
+    for k, v in enumerate((None, p1, p1 + p2 * _PREV2, p2 * _SKIP + np.uint64(1), s1 * _SHAPE)):
+        ctx[k] = OFFSETS[k] if v is None else OFFSETS[k] + (mix(v) & np.uint64(CONTEXTS[k] - 1)).astype(np.int32) * NODES
+    return [(h[a : b + 1], ctx[:, a : b + 1]) for a, b in zip(first, ends, strict=True)]
 
 
 def nodes_and_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token its class's path: the node before each bit (1 to 255), and the bits."""
-    cls = (h & np.uint64(NODES - 1)).astype(np.int64) | NODES
-    shifts = np.arange(BITS, 0, -1)
+    cls = (h & np.uint64(NODES - 1)).astype(np.int32) | NODES
+    shifts = np.arange(BITS, 0, -1, dtype=np.int32)
     nodes = cls[:, None] >> shifts
     return nodes, (cls[:, None] >> (shifts - 1)) & 1
 
@@ -72,23 +74,18 @@ def _train(batches):
     """Partial word counts (chunk -1) and, at the end, context tables by chunk of the task's rows."""
     import pyarrow as pa
 
-    hashes, words, tables = WordHashes(), Counter(), np.zeros((SLOTS, 2), np.uint32)
-    names = ["chunk", "h", "n", "counts"]
+    tables, names, held = np.zeros((SLOTS, 2), np.uint32), ["chunk", "h", "n", "counts"], []
 
     def counted():
-        hs = hashes.of(list(words))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), -1, np.int32)), pa.array(hs.view(np.int64)), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.binary())], names=names)
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), -1, np.int32)), pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.binary())], names=names)
 
     for b in batches:
         for part in range(0, b.num_rows, DOCS):
-            flat = []
-            for t in b.column(0).slice(part, DOCS).to_pylist():
-                w = words_of(t)
-                words.update(w)
-                words[END] += 1
-                flat.append(token_arrays(w, hashes))
-            h = np.concatenate([x[0] for x in flat])
-            ctx = np.concatenate([x[1] for x in flat], axis=1)
+            docs = token_arrays(b.column(0).slice(part, DOCS).to_pylist())
+            h, ctx = np.concatenate([x[0] for x in docs]), np.concatenate([x[1] for x in docs], axis=1)
+            held.append(h)
             for i in range(0, len(h), 1 << 16):
                 nodes, bits = nodes_and_bits(h[i : i + (1 << 16)])
                 code = nodes * 2 + bits
@@ -96,10 +93,10 @@ def _train(batches):
                     lo, hi = OFFSETS[k], OFFSETS[k + 1]
                     at = (ctx[k, i : i + (1 << 16), None] - lo) * 2 + code
                     tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
-            if len(words) > 200_000:
+            if sum(map(len, held)) > MERGE:
                 yield counted()
-                words.clear()
-    yield counted()
+    if held:
+        yield counted()
     chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
     chunks = [(c, x) for c, x in chunks if x.any()]
     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in chunks], pa.binary())], names=names)
@@ -131,20 +128,21 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.n
     """log10 probability of the classes of each document's tokens; documents run side by side, block by block."""
     total = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
-    sizes = np.array([len(docs[i][0]) for i in order])
+    sizes = np.array([len(docs[i][0]) for i in order], np.int64)
+    # one array of all tokens, each text padded to whole blocks: a step's tokens are found by index
+    starts = np.concatenate(([0], np.cumsum(-(-sizes // BLOCK) * BLOCK)))
+    tokens, slots = np.zeros(starts[-1], np.uint64), np.zeros((K, starts[-1]), np.int32)
+    for r, i in enumerate(order):
+        tokens[starts[r] : starts[r] + sizes[r]], slots[:, starts[r] : starts[r] + sizes[r]] = docs[i]
     weights = np.full((len(docs), BITS, K), 1.1 / K, np.float32)
     cells = np.tile((np.arange(MAP_CELLS, dtype=np.float32) - MAP_CELLS / 2 + 0.5) * (16 / MAP_CELLS), (len(docs), BITS, 1))
     cells = 1 / (1 + np.exp(-cells))
-    gate = np.arange(BITS)[None, None, :]
+    gate = np.arange(BITS, dtype=np.int32)[None, None, :]
     for at in range(0, int(sizes[0]) if len(sizes) else 0, BLOCK):
         m = int((sizes > at).sum())
-        h = np.zeros((m, BLOCK), np.uint64)
-        ctx = np.zeros((K, m, BLOCK), np.int64)
         live = np.minimum(sizes[:m] - at, BLOCK)
-        for r in range(m):
-            a, b = docs[order[r]]
-            h[r, : live[r]] = a[at : at + BLOCK]
-            ctx[:, r, : live[r]] = b[:, at : at + BLOCK]
+        where = starts[:m, None] + at + np.arange(BLOCK)
+        h, ctx = tokens[where], slots[:, where]
         there = (np.arange(BLOCK)[None, :] < live[:, None])
         nodes, bits = nodes_and_bits(h.ravel())
         nodes, bits = nodes.reshape(m, BLOCK, BITS), bits.reshape(m, BLOCK, BITS).astype(np.float32)
@@ -157,8 +155,8 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.n
             s += x[k] * w[:, None, :, k]
         np.clip(s, -7.9, 7.9, out=s)
         p = 1 / (1 + np.exp(-s))
-        cell = ((s + 8) * (MAP_CELLS / 16)).astype(np.int64)
-        flat = (np.arange(m)[:, None, None] * BITS + gate) * MAP_CELLS + cell
+        cell = ((s + 8) * (MAP_CELLS / 16)).astype(np.int32)
+        flat = (np.arange(m, dtype=np.int32)[:, None, None] * BITS + gate) * MAP_CELLS + cell
         c = cells[:m].reshape(-1)
         final = np.clip(0.75 * p + 0.25 * c[flat], 1 / 4096, 1 - 1 / 4096)
         chosen = np.where(bits > 0, final, 1 - final).prod(axis=2)
@@ -179,12 +177,12 @@ def _score(shared):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model, hashes = shared.value, WordHashes()
+        model = shared.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for part in range(0, b.num_rows, DOCS):
                 ids, texts = (b.column(k).slice(part, DOCS).to_pylist() for k in (0, 1))
-                docs, out = [token_arrays(words_of(t), hashes) for t in texts], []
+                docs, out = token_arrays(texts), []
                 bits = _class_bits(model, docs)
                 for j, (h, _) in enumerate(docs):
                     u, n = np.unique(h, return_counts=True)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stored, table
 from .graph import connected_components
-from .shingles import WordHashes, shingles, words_of
+from .shingles import shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 192, 6, 10
 BANDS = BUCKETS // ROWS
@@ -87,11 +87,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         import pyarrow as pa
         import xxhash
 
-        hashes = WordHashes()
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
-                s = shingles(words_of(t), hashes)
+            for s in shingle_sets(b.column(1).to_pylist()):
                 if len(s):
                     reg = registers(s)
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(reg).tolist(), reg[::2].tobytes()))
@@ -112,14 +110,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
         for batch in batches:
-            linked, last, last_set = [], None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, last_set = x, shingles(words_of(x), hashes)
-                s = shingles(words_of(y), hashes)
-                linked.append(_linked(last_set, s, percent))
+            linked = [_linked(s, t, percent) for s, t in zip(*(shingle_sets(batch.column(k).to_pylist()) for k in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     rows = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b")
@@ -187,7 +179,6 @@ def _links(least: float, percent: int):
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
         for _, _, _, band, side, id_, comps, ns, regs, bands, text in _groups(batches, 3):
             parent: dict[int, int] = {c: c for c in comps}
             sets: dict[int, np.ndarray] = {}
@@ -199,7 +190,7 @@ def _links(least: float, percent: int):
 
             def full(k: int, sets=sets, text=text) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingles(words_of(text[k]), hashes)
+                    sets[k] = next(shingle_sets([text[k]]))
                 return sets[k]
 
             out = []

@@ -268,8 +268,13 @@ def test_surrogates_are_distinct(spark):
 def test_shingles_and_registers():
     import numpy as np
 
-    h = shingles.WordHashes()
-    s = shingles.shingles(shingles.words_of("a b c d e f a b c d e"), h)
+    texts = ["a b c d e f a b c d e", None, "", " one\x0b\tTWO ", "ONE two", "Éa", "éa", "x" * 3000]
+    h, shapes, at = shingles.hash_words(texts)
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert at.tolist() == [0, 11, 11, 11, 13, 15, 16, 17, 18] and len(set(h.tolist())) == len(set(words))
+    assert all((words[i] == words[j]) == (h[i] == h[j]) for i in range(18) for j in range(18))
+    assert shapes.tolist() == [w[-1] * 16 + min(len(w), 15) for w in words]
+    s = next(shingles.shingle_sets(texts))
     assert len(s) == 6 and (np.diff(s.astype(object)) > 0).all()
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
