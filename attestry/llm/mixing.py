@@ -41,7 +41,7 @@ HEAD = 100_000
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens whose hashes a task holds before it counts them.
-MERGE = 4_000_000
+MERGE = 2_000_000
 _PREV2, _SKIP, _SHAPE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
