@@ -1,14 +1,15 @@
 """Detection metrics over (y int, score double). Rows with a score that isn't finite are left out of all of them.
 
-Ranks come from counts by distinct score: the only ordered pass is over distinct scores, after a map-side combine.
+Ranks come from counts by distinct score, after a map-side combine; running sums go range by range, in parallel.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.operators.ordered import ranged, running
+
 NAN = float("nan")
 #: Bin edges as floating-point multiples of a tenth that a linear spacing gives.
 EDGES = tuple(i * 0.1 for i in range(11))
@@ -24,16 +25,16 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 def auroc(df: DataFrame) -> DataFrame:
     """(auroc): Mann-Whitney with ties at half; NaN if a class is missing."""
-    below = F.coalesce(F.sum("q").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = _by_score(df).withColumn("u", F.col("p") * (below + F.col("q") / 2)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    t = running(ranged(_by_score(df), "score"), {"upto": "q"}, ["score"])
+    t = t.withColumn("u", F.col("p") * (F.col("upto") - F.col("q") / 2)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).otherwise(NAN).alias("auroc"))
 
 
 def roc_points(df: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, from the highest, after (infinity, 0, 0); the diagonal if a class is missing."""
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy()
-    t = _by_score(df).select("score", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(all_).alias("np"), F.sum("q").over(all_).alias("nq"))
+    g = _by_score(df).withColumn("_down", -F.col("score"))
+    whole = g.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    t = running(ranged(g, "_down"), {"tp": "p", "fp": "q"}, ["_down"]).crossJoin(F.broadcast(whole))
     t = t.where("np > 0 and nq > 0").select(F.col("score").alias("threshold"), (F.col("fp") / F.col("nq")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
     start = df.sparkSession.sql("select double('infinity') threshold, 0D fpr, 0D tpr")
     return start.unionByName(t)
@@ -49,9 +50,9 @@ def tpr_at_fpr(df: DataFrame, at: float = 0.01) -> DataFrame:
 
 
 def average_precision(df: DataFrame, key: str) -> DataFrame:
-    """(average_precision): mean precision at each positive, by score descending and then key."""
-    w = W.orderBy(F.desc("score"), key)
-    t = finite(df).select("y", F.row_number().over(w).alias("r"), F.sum("y").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("tp"))
+    """(average_precision): mean precision at each positive, by score descending and then key, a number."""
+    d = finite(df).select("y", key, (-F.col("score")).alias("_down"), F.lit(1).alias("_one"))
+    t = running(ranged(d, "_down", key), {"r": "_one", "tp": "y"}, ["_down", key])
     return t.where("y = 1").agg(F.coalesce(F.avg(F.col("tp") / F.col("r")), F.lit(NAN)).alias("average_precision"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.operators.ordered import ranged, running, smallest_from_here
+
 
 def ks_statistic(rows: DataFrame) -> DataFrame:
     """(measure, d, effect, n_reference, n_observed) of rows (measure, observed boolean, value).
@@ -25,10 +27,11 @@ def ks_statistic(rows: DataFrame) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """tests with p_adjusted and significant."""
-    order = W.orderBy(p, key)
-    raw = tests.withColumn("_raw", F.least(F.lit(1.0), F.col(p) * F.count("*").over(W.partitionBy()) / F.row_number().over(order)))
-    adj = F.min("_raw").over(order.rowsBetween(0, W.unboundedFollowing))
-    return raw.withColumn("p_adjusted", adj).withColumn("significant", F.col("p_adjusted") < alpha).drop("_raw")
+    t = running(ranged(tests.withColumn("_one", F.lit(1)), p, key), {"_r": "_one"}, [p, key])
+    n = tests.agg(F.count("*").alias("_n"))
+    t = t.crossJoin(F.broadcast(n))
+    t = smallest_from_here(t, F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r")), [p, key], "p_adjusted")
+    return t.withColumn("significant", F.col("p_adjusted") < alpha).drop("_one", "_r", "_n", "_b")
 
 
 def attribution(effects: DataFrame) -> DataFrame:

@@ -13,19 +13,19 @@ def sign_hash(vector: Column) -> Column:
 
 
 def hamming_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
-    """(a, b, distance) of all pairs of (id, hash) at a distance of at most ``most`` bits.
+    """(a, b, distance): links of (id, hash) rows at a distance of at most ``most`` bits.
 
-    64 bits are cut into most + 1 bands; two hashes within the distance agree on at least one, so the equi-join on
-    (band, bits) loses nothing. Equal hashes are joined once, through one row for each hash.
+    Rows of one hash are a class under its smallest id: every other member links to it at distance 0, and classes
+    link through these ids. So no link between different hashes is lost, and copies aren't expanded into pairs. 64 bits are cut into most + 1 bands; two hashes within the distance agree on at least one, so the equi-join on
+    (band, bits) loses nothing.
     """
     bands = most + 1
     width = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
     cut = lambda h, lo, hi: F.call_function("shiftrightunsigned", h, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    u = hashes.select("hash").distinct()
-    b = u.select("hash", F.posexplode(F.array(*(cut(F.col("hash"), lo, hi) for lo, hi in width))).alias("band", "bits"))
-    near = b.alias("x").join(b.alias("y"), ["band", "bits"]).where("x.hash < y.hash").select(F.col("x.hash").alias("h1"), F.col("y.hash").alias("h2"))
-    near = near.where(F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))) <= most).distinct().unionAll(u.select(F.col("hash").alias("h1"), F.col("hash").alias("h2")))
-    one = hashes.select(F.col("id").alias("a"), F.col("hash").alias("h1"))
-    two = hashes.select(F.col("id").alias("b"), F.col("hash").alias("h2"))
-    out = near.join(one, "h1").join(two, "h2").where((F.col("h1") != F.col("h2")) | (F.col("a") < F.col("b")))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))).alias("distance"))
+    u = hashes.groupBy("hash").agg(F.min("id").alias("first"))
+    b = u.select("hash", "first", F.posexplode(F.array(*(cut(F.col("hash"), lo, hi) for lo, hi in width))).alias("band", "bits"))
+    near = b.alias("x").join(b.alias("y"), ["band", "bits"]).where("x.hash < y.hash")
+    distance = F.bit_count(F.col("x.hash").bitwiseXOR(F.col("y.hash")))
+    between = near.where(distance <= most).select(F.least("x.first", "y.first").alias("a"), F.greatest("x.first", "y.first").alias("b"), distance.alias("distance")).distinct()
+    inside = hashes.join(u, "hash").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return between.unionByName(inside)

@@ -231,8 +231,10 @@ def near_dup_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i) ELSE 0::UBIGINT END), lambda a, b: a | b) AS h FROM embeddings),
-u AS (SELECT vec_id, h FROM e UNION ALL SELECT vec_id + 1000000, xor(h, (5::UBIGINT << (vec_id % 60))) FROM e WHERE vec_id % 5 = 0)
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 8
+u AS (SELECT vec_id, h FROM e UNION ALL SELECT vec_id + 1000000, xor(h, (5::UBIGINT << (vec_id % 60))) FROM e WHERE vec_id % 5 = 0),
+f AS (SELECT h, min(vec_id) AS vec_id FROM u GROUP BY h)
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM f a JOIN f b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 8
+UNION ALL SELECT f.vec_id, u.vec_id, 0 FROM u JOIN f ON u.h = f.h WHERE u.vec_id <> f.vec_id
 """)
 def near_dup_hamming(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_hash(as_doubles(F.col("embedding"))).alias("hash"))
