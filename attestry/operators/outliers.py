@@ -21,6 +21,15 @@ def robust_z(df: DataFrame, value: str, by: str) -> DataFrame:
     return d.join(mad, by).withColumn("z", (F.col(value) - F.col("_med")) / scale).drop("_med", "_sd", "_mad")
 
 
+def mad_index(df: DataFrame, value: str) -> DataFrame:
+    """df with index: how far below the median a value lies, in scaled MADs; the population deviation where that is 0, else 1."""
+    med = df.agg(F.percentile(value, 0.5).alias("_med"), F.stddev_pop(value).alias("_sd"))
+    d = df.crossJoin(F.broadcast(med))  # one row
+    mad = d.agg((F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5)).alias("_mad"))
+    scale = F.when(F.col("_mad") > 1e-12, F.col("_mad") * MAD_SCALE).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    return d.crossJoin(F.broadcast(mad)).withColumn("index", (F.col("_med") - F.col(value)) / scale).drop("_med", "_sd", "_mad")
+
+
 def class_distances(samples: DataFrame, id_col: str, label: str, vector: str, least: int = 8, share: float = 0.7) -> DataFrame:
     """(id, label, distance, ratio, score) from each class's trimmed centre; classes under ``least`` are left out.
 
@@ -57,6 +66,18 @@ def nearest(queries: DataFrame, samples: DataFrame, id_col: str, vector: str, k:
     return pairs.withColumn("rank", r).where(F.col("rank") <= k)
 
 
+def mean_distance(queries: DataFrame, samples: DataFrame, id_col: str, label: str, vector: str, k: int = 5) -> DataFrame:
+    """(id, distance): each query's mean distance to the k nearest samples of its own class.
+
+    A query meets its class only; of each task's share at most k a query are shuffled on, by a partial top k.
+    """
+    v = lambda df, i, x: df.select(F.col(id_col).alias(i), F.col(label).alias("label"), as_doubles(F.col(vector)).alias(x))
+    apart = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    pairs = v(samples, "other", "w").join(v(queries, "id", "v"), "label").where("id <> other").select("id", "other", apart.alias("d"))
+    r = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
+    return pairs.withColumn("r", r).where(F.col("r") <= k).groupBy("id").agg(F.avg("d").alias("distance"))
+
+
 def label_disagreement(near: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(id, label, majority, agreement, score): (1 - agreement) times the majority's share; on a tie the nearest wins."""
     one = labels.select(F.col("id").alias("other"), F.col("label").alias("l"))

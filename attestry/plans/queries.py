@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from attestry.functions.grading import bounded, disposition_for, duplicate_score, severity_for, verdict_band
 from attestry.functions.vectors import as_doubles
-from attestry.operators import layers, logs, metrics, outliers, rollup, shift, similarity
-from attestry.session import table
+from attestry.operators import custody, findings, graph, layers, logs, metrics, outliers, rollup, shift, similarity
+from attestry.session import shared_path, table
+from attestry.streaming import logs as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -357,3 +358,178 @@ def layer_diff(spark: SparkSession, d: str) -> DataFrame:
     rounded = lambda x: layers.layer_stats(x, "label").withColumn("mean", F.round("mean", 12)).withColumn("std", F.round("std", 12))
     out = layers.diff_layers(rounded(v.where("label <> 9")), rounded(v.where("label <> 0 and (label <> 3 or vec_id % 2 = 0)")), "label")
     return out.select("label", "status", *_r("mean_shift", "std_change"))
+
+
+@query("""
+SELECT doc_id AS sample_id, coalesce(CASE WHEN doc_id % 7 = 0 THEN 'mapped' || (doc_id % 3) END, nullif(regexp_extract(source, 'src([0-4])', 1), ''), source) AS contributor_id FROM documents
+""")
+def attach_contributors(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("path"), F.col("source").alias("contributor_id"))
+    mapped = docs.where("sample_id % 7 = 0").select("sample_id", F.concat(F.lit("mapped"), F.col("sample_id") % 3).alias("contributor"))
+    return findings.attach_contributors(docs, mapped, "src([0-4])", "path").select("sample_id", "contributor_id")
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that stand for checks: two per document by its length, and one of a model's checks that couldn't run."""
+    s = (F.col("n_chars") % 100) / 100.0
+    docs = table(spark, d, "documents").select("doc_id", s.alias("score"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "trigger_freq").when(F.col("doc_id") % 4 == 1, "label_noise").when(F.col("doc_id") % 4 == 2, "near_duplicate").otherwise("contributor")
+    attack = F.when(F.col("doc_id") % 4 == 0, "badnets_patch").when(F.col("doc_id") % 4 == 1, "label_flip").when(F.col("doc_id") % 4 == 2, "near_duplicate_flood").otherwise("systematic_mislabel")
+    none = F.lit(None).cast("string")
+    made = docs.select(
+        F.col("doc_id").cast("string").alias("asset_ref"), F.when(F.col("doc_id") % 4 == 3, "contributor").otherwise("sample").alias("asset_type"), attack.alias("attack_class"), kind.alias("detector_id"),
+        "score", disposition_for(F.col("score")).alias("disposition"), F.concat(F.lit("score "), F.when(F.col("doc_id") % 11 == 0, "by z-score").otherwise(F.col("score").cast("string"))).alias("reason"), none.alias("unavailable_reason"),
+    )
+    blocked = spark.sql("select 'm1' asset_ref, 'model' asset_type, 'model_substitute' attack_class, 'fingerprint' detector_id, 0D score, 'accept' disposition, 'not enrolled' reason, 'not enrolled' unavailable_reason")
+    return made.unionByName(blocked)
+
+
+_FINDINGS = """WITH s AS (SELECT doc_id, (n_chars % 100) / 100.0::DOUBLE AS score FROM documents),
+f AS (SELECT doc_id::VARCHAR AS asset_ref, CASE WHEN doc_id % 4 = 3 THEN 'contributor' ELSE 'sample' END AS asset_type,
+  CASE doc_id % 4 WHEN 0 THEN 'badnets_patch' WHEN 1 THEN 'label_flip' WHEN 2 THEN 'near_duplicate_flood' ELSE 'systematic_mislabel' END AS attack_class,
+  CASE doc_id % 4 WHEN 0 THEN 'trigger_freq' WHEN 1 THEN 'label_noise' WHEN 2 THEN 'near_duplicate' ELSE 'contributor' END AS detector_id, score,
+  CASE WHEN score >= 0.8 THEN 'quarantine' WHEN score >= 0.5 THEN 'review' ELSE 'accept' END AS disposition, doc_id % 11 = 0 AS odd FROM s)
+"""
+
+
+@query(_FINDINGS + "SELECT rule, count(*) AS n FROM (SELECT unnest(['jargon', 'no_number']) AS rule FROM f WHERE odd) GROUP BY rule")
+def finding_violations(spark: SparkSession, d: str) -> DataFrame:
+    v = findings.violations(F.col("score"), F.col("reason"), F.col("unavailable_reason"), F.col("asset_type"))
+    return _findings(spark, d).select(F.explode(v).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(_FINDINGS + "SELECT DISTINCT asset_ref FROM f WHERE asset_type = 'sample' AND asset_ref NOT IN (SELECT doc_id::VARCHAR FROM labels)")
+def unmatched_findings(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("sample_id"))
+    return findings.unmatched(_findings(spark, d), truth)
+
+
+@query(_FINDINGS + "SELECT l.doc_id::VARCHAR AS sample_id, 1 - quality AS y, coalesce(max(f.score), 0) AS score FROM labels l LEFT JOIN f ON f.asset_ref = l.doc_id::VARCHAR AND asset_type = 'sample' GROUP BY 1, 2")
+def truth_scores(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("sample_id"), (1 - F.col("quality")).alias("y")).distinct()
+    return findings.score_truth(_findings(spark, d), truth).select("sample_id", "y", "score")
+
+
+@query(_FINDINGS + """, k(category, attack_class) AS (VALUES ('Trigger / pattern risk', 'badnets_patch'), ('Trigger / pattern risk', 'blended_trigger'), ('Label anomaly risk', 'label_flip'), ('Label anomaly risk', 'systematic_mislabel'),
+  ('Duplicate / near-duplicate risk', 'near_duplicate_flood'), ('OOD / distribution risk', 'ood_insertion')),
+g AS (SELECT category, count(f.score) AS n, count(*) FILTER (disposition <> 'accept') AS fl, count(*) FILTER (disposition = 'quarantine') AS q, coalesce(max(score), 0) AS top FROM k LEFT JOIN f ON f.attack_class = k.attack_class AND asset_type = 'sample' GROUP BY category)
+SELECT category, n AS n_checked, fl AS n_flagged, CASE WHEN top >= 0.9 THEN 'critical' WHEN top >= 0.7 THEN 'high' WHEN top >= 0.45 THEN 'medium' ELSE 'low' END AS level, CASE WHEN q > 0 THEN 'quarantine' WHEN fl > 0 THEN 'review' ELSE 'accept' END AS status FROM g""")
+def category_risk(spark: SparkSession, d: str) -> DataFrame:
+    return findings.category_risk(_findings(spark, d))
+
+
+_CHECK_ROWS = ", ".join(f"('{a}', '{c}')" for a, checks in findings.CHECKS for c in checks)
+
+
+@query(_FINDINGS + f""", k(attack_class, detector_id) AS (VALUES {_CHECK_ROWS}), n AS (SELECT detector_id, count(*) AS n FROM f GROUP BY 1), m AS (SELECT attack_class, round(avg((score >= 0.8)::INT), 6) AS tpr FROM f WHERE attack_class <> 'label_flip' GROUP BY 1)
+SELECT k.attack_class, k.detector_id, coalesce(n, 0) AS n_made, tpr, CASE WHEN n IS NULL THEN 'unsupported' WHEN tpr IS NULL THEN 'not measured' WHEN tpr >= 0.8 THEN 'strong' WHEN tpr >= 0.6 THEN 'good' WHEN tpr >= 0.35 THEN 'partial' ELSE 'unsupported' END AS status
+FROM k LEFT JOIN n ON k.detector_id = n.detector_id LEFT JOIN m ON k.attack_class = m.attack_class""")
+def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
+    f = _findings(spark, d)
+    measured = f.where("unavailable_reason is null and attack_class <> 'label_flip'").groupBy("attack_class").agg(F.round(F.avg((F.col("score") >= 0.8).cast("double")), 6).alias("tpr"))
+    return findings.coverage(f, measured)
+
+
+@query(_FINDINGS + "SELECT CASE WHEN count(*) FILTER (disposition = 'quarantine') > 0 THEN 'red' ELSE 'amber' END AS verdict, count(*) FILTER (disposition = 'quarantine') AS n_quarantine, count(*) FILTER (disposition = 'review') AS n_review, 'not verified' AS model FROM f")
+def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return findings.overall_verdict(_findings(spark, d))
+
+
+@query("""WITH u AS (SELECT doc_id, ('0x' || substr(md5('split|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.4 THEN 'fit' WHEN u < 0.7 THEN 'calibrate' ELSE 'test' END AS split FROM u""")
+def three_way_split(spark: SparkSession, d: str) -> DataFrame:
+    return findings.split(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT md5(coalesce(text, '')) AS text_key, 2 AS n_splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 2) > 1")
+def split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), (F.col("doc_id") % 2).alias("split"))
+    return findings.split_leakage(s, "text_key")
+
+
+@query("SELECT l_linestatus AS attack, count(*) AS n, round(avg(l_discount::DOUBLE), 6) AS mean, round(stddev_samp(l_discount::DOUBLE), 6) AS sd, min(l_discount::DOUBLE) AS low, median(l_discount::DOUBLE) AS median, max(l_discount::DOUBLE) AS high FROM lineitem GROUP BY 1")
+def sweep_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("attack"), F.col("l_discount").cast("double").alias("tpr"))
+    return findings.spread(li, "attack", "tpr").select("attack", "n", *_r("mean", "sd"), "low", "median", "high")
+
+
+@query("""WITH m AS (SELECT median(value::DOUBLE) AS med FROM events), s AS (SELECT median(abs(value::DOUBLE - med)) * 1.4826 AS s FROM events, m) SELECT event_id, round((med - value::DOUBLE) / s, 6) AS index FROM events, m, s""")
+def mad_index(spark: SparkSession, d: str) -> DataFrame:
+    return outliers.mad_index(table(spark, d, "events").select("event_id", F.col("value").cast("double").alias("value")), "value").select("event_id", *_r("index"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT id, round(avg(d), 6) AS distance FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) <= 5) GROUP BY id""")
+def ood_knn_distance(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return outliers.mean_distance(e.where("vec_id % 50 = 0"), e, "vec_id", "label", "embedding").select("id", *_r("distance"))
+
+
+_COPIES = """
+WITH RECURSIVE e AS (SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i) ELSE 0::UBIGINT END), lambda a, b: a | b) AS h FROM embeddings),
+u AS (SELECT vec_id, h FROM e UNION ALL SELECT vec_id + 1000000, xor(h, (5::UBIGINT << (vec_id % 60))) FROM e WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id + 2000000, h FROM e WHERE vec_id % 10 = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 8),
+r(id, c) AS (SELECT vec_id, vec_id FROM u UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.id),
+l AS (SELECT id, min(c) AS component FROM r GROUP BY id)
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM l QUALIFY size >= 3
+"""
+
+
+@query(_COPIES)
+def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_hash(as_doubles(F.col("embedding"))).alias("hash"))
+    near = h.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), F.col("hash").bitwiseXOR(F.expr("shiftleft(5L, cast(id % 60 as int))")).alias("hash"))
+    same = h.where("id % 10 = 0").select((F.col("id") + 2_000_000).alias("id"), "hash")
+    return graph.clusters(similarity.hamming_pairs(h.unionByName(near).unionByName(same)).select("a", "b"))
+
+
+@query(_SHIFT + """, t AS (SELECT sum(abs(effect)) AS w FROM e) SELECT round(least(0.95, w / (w + 1.2)), 6) AS explained, CASE WHEN 1 - least(0.95, w / (w + 1.2)) > 0.45 THEN 'SUSPICIOUS' ELSE 'DRIFT' END AS kind FROM t""")
+def shift_classify(spark: SparkSession, d: str) -> DataFrame:
+    t = shift.ks_statistic(_measures(spark, d)).agg(F.sum(F.abs("effect")).alias("w"))
+    explained = F.least(F.lit(0.95), F.col("w") / (F.col("w") + 1.2))
+    return t.select(F.round(explained, 6).alias("explained"), shift.classify(F.lit(1.0), 1 - explained, F.lit(False), F.lit(False)).alias("kind"))
+
+
+_SOURCE_COUNTS = "SELECT count(contributor_id) AS attributed, count(*) AS total FROM (SELECT CASE WHEN doc_id % 9 <> 0 THEN source END AS contributor_id FROM documents)"
+
+
+@query(_SOURCE_COUNTS)
+def attribution_coverage(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select(F.when(F.col("doc_id") % 9 != 0, F.col("source")).alias("contributor_id"))
+    return s.agg(F.count("contributor_id").alias("attributed"), F.count("*").alias("total"))
+
+
+@query(_LOG + "SELECT chain::VARCHAR AS chain, idx, seq, code FROM f")
+def log_verify_stream(spark: SparkSession, d: str) -> DataFrame:
+    base = shared_path(spark, "stream")
+    _log(spark, d).repartition("chain").write.parquet(f"{base}/log")
+    schema = spark.read.parquet(f"{base}/log").schema
+    stream.verify(spark.readStream.schema(schema).parquet(f"{base}/log"), f"{base}/out", f"{base}/state")
+    return spark.read.schema(stream.OUT).parquet(*(f"{base}/out/part={k}" for k in range(3)))
+
+
+def _hops(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chain"), F.col("turn").alias("idx"), F.col("role").alias("actor_id"), F.coalesce("text", F.lit("")).alias("text"))
+    c = custody.chained(c, "text").withColumn("seed", F.unhex(F.sha2(F.concat(F.lit("key|"), "actor_id"), 256)))
+    c = custody.signed(c, "record_hash", "seed")
+    return custody.alter_where(c, (F.col("chain") + F.col("idx")) % 17 == 3, record_hash=F.sha2(F.lit("edited"), 256))
+
+
+@query("SELECT conv_id AS chain, turn AS idx, CASE WHEN role = 'assistant' OR (conv_id + turn) % 17 = 3 THEN CASE WHEN role = 'assistant' THEN 'UNKNOWN_ACTOR' ELSE 'SIGNATURE_INVALID' END END AS code FROM conversations WHERE role = 'assistant' OR (conv_id + turn) % 17 = 3")
+def signature_verify(spark: SparkSession, d: str) -> DataFrame:
+    h = _hops(spark, d)
+    return custody.signature_failures(h, _keyring(spark, d).where("actor_id <> 'assistant'")).select("chain", "idx", "code")
+
+
+def _keyring(spark: SparkSession, d: str) -> DataFrame:
+    from attestry.functions.ed25519 import public_key
+
+    roles = [r[0] for r in table(spark, d, "conversations").select("role").distinct().collect()]  # one key a role
+    import hashlib
+
+    return spark.createDataFrame([(r, bytearray(public_key(hashlib.sha256(f"key|{r}".encode()).digest()))) for r in roles if r], "actor_id string, key binary")
+
+
+@query(_LOG + ", p(code, rank) AS (VALUES ('MALFORMED', 1), ('SEQUENCE_REPLAY', 2), ('NONCE_REUSE', 3), ('SEQUENCE_GAP', 4), ('TIMESTAMP_REGRESSION', 6), ('CHAIN_BROKEN', 7)) SELECT chain, seq, min(idx) AS idx, min_by(f.code, rank) AS code, array_to_string(list_sort(list(DISTINCT f.code)), ',') AS codes FROM f JOIN p ON f.code = p.code GROUP BY chain, seq")
+def log_headlines(spark: SparkSession, d: str) -> DataFrame:
+    return custody.headlines(logs.verify_log(_log(spark, d))).withColumn("codes", F.array_join("codes", ","))

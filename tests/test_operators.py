@@ -47,3 +47,70 @@ def test_classification(spark):
     c = lambda *x: shift.classify(*map(F.lit, x))
     r = one(spark, c(0.01, 0.9, True, True), c(0.5, 0.3, True, False), c(0.5, 0.3, False, False), c(0.5, 0.5, False, False))
     assert tuple(r) == ("NO MEANINGFUL SHIFT", "SUSPICIOUS", "DRIFT", "SUSPICIOUS")
+
+
+def test_rfc_8032_signatures():
+    from attestry.functions import ed25519
+
+    # the RFC's first two test vectors
+    for seed, public, message, signature in (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+    ):
+        seed, public, message, signature = map(bytes.fromhex, (seed, public, message, signature))
+        assert ed25519.public_key(seed) == public and ed25519.sign(seed, message) == signature
+        assert ed25519.verify(public, message, signature)
+        assert not ed25519.verify(public, message + b"x", signature)
+        assert not ed25519.verify(public, message, signature[:32] + bytes(32))
+
+
+def test_canonical_json():
+    from attestry.functions import canonical
+
+    assert canonical.text({"b": [1, -0.0, float("nan")], "a": {"é": b"\x01", "s": {2, 1}}}) == '{"a":{"s":[1,2],"é":"01"},"b":[1,0.0,"NaN"]}'
+    assert canonical.digest({"a": 1, "b": 2}) == canonical.digest({"b": 2, "a": 1})
+
+
+def test_intrusions_are_named(spark):
+    from attestry.operators import custody
+
+    rows = spark.range(20).select(F.lit("c").alias("chain"), F.col("id").alias("idx"), F.col("id").cast("string").alias("text"))
+    log = custody.chained(rows, "text").withColumn("nonce", F.concat(F.lit("n"), "idx")).withColumn("ts", F.lpad("text", 4, "0"))
+    codes = lambda x: {r["code"] for r in logs.verify_log(x).collect()}
+    assert codes(log) == set()
+    assert codes(custody.delete(log, 7)) == {logs.CHAIN, logs.GAP}
+    assert codes(custody.replay(log, 3, 9)) == {logs.CHAIN, logs.REPLAY, logs.NONCE, logs.TIME}
+    assert codes(custody.reorder(log, 4, 5)) == {logs.CHAIN, logs.GAP, logs.REPLAY, logs.TIME}
+    assert codes(custody.alter(log, 6, record_hash="0")) == {logs.CHAIN}
+
+
+def test_stream_takes_up_what_is_new(spark, tmp_path):
+    from attestry.operators import custody
+    from attestry.streaming import logs as stream
+
+    rows = spark.range(40).select((F.col("id") % 2).cast("string").alias("chain"), F.col("id").alias("idx"), F.col("id").cast("string").alias("text"))
+    log = custody.chained(rows, "text").withColumn("nonce", F.when(F.col("idx") == 30, "n4").otherwise(F.concat(F.lit("n"), "idx"))).withColumn("ts", F.lpad("text", 4, "0")).drop("text")
+    log = custody.delete(log, 25)
+    for k, part in enumerate(("idx < 20", "idx >= 20")):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        stream.verify(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert k in (0, 1)
+    got = spark.read.schema(stream.OUT).parquet(*(f"{tmp_path}/out/part={k}" for k in range(3)))
+    key = lambda df: sorted((r["chain"], r["idx"], r["code"]) for r in df.collect())
+    assert key(got) == key(logs.verify_log(log)) and len(key(got)) == 3
+
+
+def test_running_sums_over_hot_values(spark):
+    from attestry.operators.ordered import ranged, running
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 11).cast("double").alias("v"), F.lit(1).alias("one"))
+    got = running(ranged(df, "v", "id", 8), {"r": "one"}, ["v", "id"]).collect()
+    assert [r["r"] for r in sorted(got, key=lambda r: (r["v"], r["id"]))] == list(range(1, 3001))
+    assert len({r["_b"] for r in got}) > 8
+
+
+def test_canonical_udf(spark):
+    from attestry.functions import canonical
+
+    df = spark.createDataFrame([('{"b": 1.50, "a": [true, null]}',), ("no",), (None,)], "j string")
+    assert [r[0] for r in df.select(canonical.canonical_udf()("j")).collect()] == ['{"a":[true,null],"b":1.5}', None, None]
