@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions.canonical import canonical_udf
 from attestry.functions.grading import bounded, disposition_for, duplicate_score, severity_for, verdict_band
 from attestry.functions.vectors import as_doubles
-from attestry.operators import custody, findings, graph, layers, logs, metrics, outliers, rollup, shift, similarity
+from attestry.operators import custody, findings, graph, layers, logs, metrics, outliers, resampling, rollup, shift, similarity
 from attestry.session import shared_path, table
 from attestry.streaming import logs as stream
 
@@ -533,3 +534,34 @@ def _keyring(spark: SparkSession, d: str) -> DataFrame:
 @query(_LOG + ", p(code, rank) AS (VALUES ('MALFORMED', 1), ('SEQUENCE_REPLAY', 2), ('NONCE_REUSE', 3), ('SEQUENCE_GAP', 4), ('TIMESTAMP_REGRESSION', 6), ('CHAIN_BROKEN', 7)) SELECT chain, seq, min(idx) AS idx, min_by(f.code, rank) AS code, array_to_string(list_sort(list(DISTINCT f.code)), ',') AS codes FROM f JOIN p ON f.code = p.code GROUP BY chain, seq")
 def log_headlines(spark: SparkSession, d: str) -> DataFrame:
     return custody.headlines(logs.verify_log(_log(spark, d))).withColumn("codes", F.array_join("codes", ","))
+
+
+@query()
+def beta_credible_interval(spark: SparkSession, d: str) -> DataFrame:
+    g = rollup.group_risk(_samples(spark, d), _flagged(spark, d), "contributor_id")
+    low, high = resampling.credible_interval(F.col("n_flagged"), F.col("n"))
+    return g.select("contributor_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query()
+def bootstrap_auroc(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.auroc_interval(_scored(spark, d))
+
+
+@query()
+def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
+    s = findings.split(_scored(spark, d), "doc_id")
+    return resampling.isotonic(s.where("split = 'calibrate'"), s).select("doc_id", "split", "y", "score", "calibrated")
+
+
+@query()
+def spectral_projection(spark: SparkSession, d: str) -> DataFrame:
+    p = resampling.projections(table(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    z = outliers.robust_z(p, "projection", "label")
+    return z.withColumn("score", bounded(F.col("z"), 3.0)).select("id", "label", *_r("projection", "z", "score"))
+
+
+@query()
+def canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", canonical_udf()("props").alias("canonical"))
+    return e.withColumn("digest", F.sha2("canonical", 256))

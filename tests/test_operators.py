@@ -114,3 +114,55 @@ def test_canonical_udf(spark):
 
     df = spark.createDataFrame([('{"b": 1.50, "a": [true, null]}',), ("no",), (None,)], "j string")
     assert [r[0] for r in df.select(canonical.canonical_udf()("j")).collect()] == ['{"a":[true,null],"b":1.5}', None, None]
+
+
+def test_rows_only_queries(spark):
+    import numpy as np
+    from oracle import DATA
+
+    from attestry.operators.resampling import _beta_tail, mmd
+    from attestry.plans.registry import QUERIES
+
+    for r in QUERIES["beta_credible_interval"](spark, DATA).collect():
+        assert 0 <= r["low"] < r["high"] <= 1
+    # Beta(1, n) and Beta(n, 1) have closed forms
+    x = np.array([0.01, 0.2, 0.9])
+    assert np.allclose(_beta_tail(np.ones(3), np.full(3, 7.0), x), 1 - (1 - x) ** 7) and np.allclose(_beta_tail(np.full(3, 7.0), np.ones(3), x), x**7)
+    a, b = QUERIES["auroc"](spark, DATA).first()[0], QUERIES["bootstrap_auroc"](spark, DATA).first()
+    assert b["low"] < a < b["high"] and b["n_draws"] == 200
+    c = sorted((r["score"], r["calibrated"]) for r in QUERIES["isotonic_calibration"](spark, DATA).collect())
+    assert all(x[1] <= y[1] + 1e-12 for x, y in zip(c, c[1:], strict=False))
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").where("label = 1").toPandas()
+    v = np.array(e["embedding"].tolist(), float)
+    want = dict(zip(e["vec_id"], np.abs((v - v.mean(axis=0)) @ np.linalg.svd(v - v.mean(axis=0))[2][0]), strict=True))
+    got = {r["id"]: r["projection"] for r in QUERIES["spectral_projection"](spark, DATA).where("label = 1").collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+    rng = np.random.default_rng(1)
+    assert mmd(rng.normal(size=(60, 4)), rng.normal(size=(60, 4)) + 2)[1] < 0.01 < mmd(rng.normal(size=(60, 4)), rng.normal(size=(60, 4)))[1]
+
+
+def test_image_sources(spark, tmp_path):
+    import json
+
+    from attestry.sources import images, records
+
+    for p in ("set/cat/a b.png", "set/cat/c+d.JPG", "set/dog/x.png", "set/top.png", "set/dog/notes.txt", "y/images/train/a.png", "y/images/train/b.png", "y/images/c.png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"x")
+    key = lambda df: sorted((r["sample_id"], r["label"], r["batch_id"]) for r in df.collect())
+    assert key(images.image_folder(spark, f"{tmp_path}/set")) == [("cat/a b.png", "cat", None), ("cat/c+d.JPG", "cat", None), ("dog/x.png", "dog", None), ("top.png", None, None)]
+    (tmp_path / "y/labels/train").mkdir(parents=True)
+    (tmp_path / "y/labels/train/a.txt").write_text("1 .5 .5 .1 .1\nbad line\n0 .5 .5 .1 .1\n1.0 .5 .5 .1 .1\n")
+    (tmp_path / "y/labels/c.txt").write_text("7 .5 .5 .1 .1\n0 .1 .1 .1 .1\n")
+    assert key(images.yolo(spark, f"{tmp_path}/y", {0: "car", 1: "van"})) == [("images/c.png", "7", None), ("images/train/a.png", "van", "train"), ("images/train/b.png", None, "train")]
+    doc = {"images": [{"id": 1, "file_name": "a.png", "contributor_id": "C0"}, {"id": 2, "file_name": "b.png"}], "annotations": [{"image_id": 1, "category_id": 9}, {"image_id": 1, "category_id": 3}], "categories": [{"id": 3, "name": "car"}]}
+    (tmp_path / "coco.json").write_text(json.dumps(doc))
+    assert key(images.coco(spark, f"{tmp_path}/coco.json")) == [("a.png", "9", None), ("b.png", None, None)]
+    (tmp_path / "map.json").write_text(json.dumps({"a": "C1", "C2": ["b", "c"]}))
+    assert sorted(map(tuple, images.contributor_map(spark, f"{tmp_path}/map.json").collect())) == [("a", "C1"), ("b", "C2"), ("c", "C2")]
+    (tmp_path / "log.jsonl").write_text('{"seq": 0, "nonce": "n"}\n\nnot json\n{"seq": 2}\n')
+    got = records.read_log(spark, f"{tmp_path}/log.jsonl", "seq long, nonce string").orderBy("idx").collect()
+    assert [(r["idx"], r["malformed"], r["seq"]) for r in got] == [(0, False, 0), (1, True, None), (2, False, 2)]
+    records.write_lines(spark.createDataFrame([(1, None, 0.5)], "b long, a string, c double"), f"{tmp_path}/lines")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/lines").collect()] == ['{"b":1,"c":0.5}']
+    assert records.markdown(spark.createDataFrame([(1, 0.123456)], "n int, x double"), 5).endswith("| 1 | 0.1235 |")
