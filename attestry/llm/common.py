@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.session import shared_path, stored  # noqa: F401
+
 #: A word: a run of characters other than space, tab, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Only where that setting is missing, as in tests, a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage is cut there."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

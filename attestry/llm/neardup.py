@@ -25,8 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.operators.graph import components
+
 from .common import maybe_broadcast, stored, table
-from .graph import connected_components
 from .shingles import shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 192, 6, 10
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def join_links(links: DataFrame) -> None:
         """Join the components that links meet."""
-        step = connected_components(labelled(links, "a", "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).toDF("component", "joined")
+        step = components(labelled(links, "a", "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).toDF("component", "joined")
         old = state["labels"]
         moved = old.join(step, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
         added = step.toDF("id", "component").join(old.select("id"), "id", "left_anti")

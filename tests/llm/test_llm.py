@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import DATA, same  # noqa: E402
 
-from attestry.llm import chat, decontaminate, graph, html, langid, mixing, neardup, packing, pii, quality, shingles, warc  # noqa: E402
+from attestry.llm import chat, decontaminate, html, langid, mixing, neardup, packing, pii, quality, shingles, warc  # noqa: E402
 from attestry.llm.common import shared_path  # noqa: E402
 from attestry.llm.queries import ORACLES, QUERIES  # noqa: E402
+from attestry.operators import graph  # noqa: E402
 
 LONG = "w%d " * 3000 % tuple(range(3000))
 ODD = [(1, None, "x"), (2, "", "x"), (3, " \t\n\x0b\x0c\r ", None), (4, "A", "x"), (4, "A", "x"), (None, "B b", "x"), (5, LONG, "x"), (6, "Ünï ☃   \x85   <|endoftext|> 漢字", "x"), (7, "of the " * 30, "x")]
@@ -187,7 +188,7 @@ def test_near_duplicate_edges(spark, odd):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7)]
-    got = {r["id"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
 
 
