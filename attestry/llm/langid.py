@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, replace_columns, table
+from .common import crc, replace_columns, table, tidied
 
 MAX_N = 5
 MAX_TRAIN_CHARS = 2_000_000
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             found = [predictor.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield replace_columns(b, ("lang_pred", "score"), [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:

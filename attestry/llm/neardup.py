@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators.graph import components
 
-from .common import maybe_broadcast, stored, table
+from .common import maybe_broadcast, stored, table, tidied
 from .shingles import shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 192, 6, 10
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "digest", "bands", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, kept binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, n long, digest binary, bands array<long>, kept binary")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     rows = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+    return rows.mapInArrow(tidied(run), "a long, b long, linked boolean")
 
 
 def _groups(batches, keys: int):
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, KEPT) for k in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(estimate((x == y).mean(axis=1)), pa.float64())], names=["a", "b", "est"])
 
-    todo = stored(near.select("a", "b", "ka", "kb").mapInArrow(judge, "a long, b long, est double").where(F.col("est") >= least), "pairs")
+    todo = stored(near.select("a", "b", "ka", "kb").mapInArrow(tidied(judge), "a long, b long, est double").where(F.col("est") >= least), "pairs")
     # the texts that can be in any link; later rounds read only these
     wanted = members.select("id").distinct()
     texts = stored(plain.join(wanted.hint("merge"), "id", "left_semi"), "texts")
@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("band"), side.alias("side"), "id", "component")
     together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     shape = "key long, x int, y int, band int, side int, id long, component long, n long, kept binary, bands array<long>"
-    asked = stored(together(rows.join(wide, "id").select("key", "x", "y", "band", "side", "id", "component", "n", "kept", "bands")).mapInArrow(_in_question(least, percent), shape), "asked")
-    links = together(asked.join(texts, "id").select(*asked.columns, "text")).mapInArrow(_links(least, percent), "a long, b long")
+    asked = stored(together(rows.join(wide, "id").select("key", "x", "y", "band", "side", "id", "component", "n", "kept", "bands")).mapInArrow(tidied(_in_question(least, percent)), shape), "asked")
+    links = together(asked.join(texts, "id").select(*asked.columns, "text")).mapInArrow(tidied(_links(least, percent)), "a long, b long")
     join_links(stored(links.distinct(), "links"))
     classes = reps.select("digest", "id").join(state["labels"], "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     classes = stored(classes, "components")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidied
 
 MAX_TOKENS = 1024
 OPEN_WINDOWS = 32
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
             yield _batch(out, [])
             out = []
         yield _batch([], list(packer.leftovers()))
+        _encoders.cache_clear()  # a worker that serves other stages next needs none
 
     def merge(batches):
         from pyspark import TaskContext
@@ -154,13 +155,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
         yield _batch(list(_rows(seq, pieces)), [])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    one = stored(rows.mapInArrow(first, PIECE + ", ids binary").withColumn("part", F.spark_partition_id()), "packed")
+    one = stored(rows.mapInArrow(tidied(first), PIECE + ", ids binary").withColumn("part", F.spark_partition_id()), "packed")
     left = one.where(F.col("ids").isNotNull())
     tasks = (one.agg(F.max("part")).first()[0] or 0) + 1
     # hashing neighbouring tasks together bounds each merge by merge_group tasks' leftovers, whatever the table's size
     groups = -(-tasks // merge_group)
     left = left.repartition(groups, F.floor(F.col("part") / merge_group)) if groups > 1 else left.coalesce(1)
-    return one.where(F.col("ids").isNull()).drop("ids", "part").unionByName(left.drop("part").mapInArrow(merge, PIECE + ", ids binary").drop("ids"))
+    return one.where(F.col("ids").isNull()).drop("ids", "part").unionByName(left.drop("part").mapInArrow(tidied(merge), PIECE + ", ids binary").drop("ids"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = (np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
