@@ -2,15 +2,18 @@
 
 Tokens are the words of a text and one end. A token's probability is that of its class, eight bits of its hash, times
 its own within the class, (c + 0.5) / (C + 0.5 (V + 1)) from exact counts over the whole training corpus. The class is
-coded bit by bit. Several predictors, each a table of bit counts by hashed context (nothing; the word before; the two words
+coded bit by bit. Several predictors, each a table of bit counts by context (nothing; the word before; the two words
 before; the one before the last; the ending and length of the word before), give probabilities; a mixer adds them in the logistic domain
 with weights that a gate, the bit's place, selects; an adaptive map then corrects the result by what was seen at
 that place at about that probability. Every text starts from the same trained state; the weights and the map adapt while it
 is read, after each block of ``BLOCK`` tokens, so a score depends on its text and the corpus alone.
 
-Context tables have a fixed number of slots, by design, and are summed by chunk in streams, so no task holds more
-than its chunks. Word counts cover the whole vocabulary. The ``HEAD`` most frequent words are broadcast, a fixed
-number; all others meet their counts in a shuffle join by word hash. Two words of one 64-bit hash count as one.
+Every distinct context has counts of its own, however many the corpus holds. A context's probability leans on that of
+no context, which counts as ``PRIOR`` sightings, and is that alone where it wasn't seen in training. Contexts of the ``HOT`` most
+frequent words, of a text's start and of all endings are dense tables that are broadcast; their number is fixed. All
+others, as (context, class) keys of 64 bits, are counted and meet the documents' keys in a shuffle by context, which
+gives back a logit in sixteenths for each bit. Word counts cover the whole vocabulary too: the ``HEAD`` most frequent words are
+broadcast, all others meet their counts in a shuffle join. Two words of one 64-bit hash, or two contexts of one 56-bit hash, count as one.
 
 Edge cases: a null or empty text is its end token alone; with no training rows every token is unknown; rows that
 repeat are scored each; long texts are read whole, in blocks; an empty table gives no rows. Other columns are not read.
@@ -27,8 +30,12 @@ from .shingles import hash_words, mix
 
 BITS = 8
 NODES = 1 << BITS
-#: Powers of two.
-CONTEXTS = (1, 512, 512, 512, 256)
+#: Words whose contexts are dense tables, less one for the start of a text; it changes what is shuffled, not what is counted.
+HOT = 1024
+#: Dense contexts of each predictor. Endings and lengths (12 bits) are all dense.
+CONTEXTS = (1, HOT, 1, HOT, 4096)
+#: Predictors with a shuffled table, and the sightings that no context counts as in a context.
+RARE, PRIOR = (1, 2, 3), 1.0
 K = len(CONTEXTS)
 OFFSETS = np.concatenate(([0], np.cumsum(CONTEXTS))) * NODES
 SLOTS = int(OFFSETS[-1])
@@ -42,11 +49,17 @@ HEAD = 100_000
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens whose hashes a task holds before it counts them.
 MERGE = 2_000_000
-_PREV2, _SKIP, _SHAPE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_PREV2, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def token_arrays(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the hashes of its tokens, and each token's context bucket in every table (K rows) as first slot numbers."""
+def _contexts(k: int, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """The hash of predictor k's context, its low 8 bits zero, by the words before."""
+    v = (p1, p1 + p2 * _PREV2 + np.uint64(2), p2 * _SKIP + np.uint64(1))[k - 1]
+    return mix(v) & ~np.uint64(NODES - 1)
+
+
+def token_arrays(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text the hashes of its tokens, each token's contexts (a row for each of RARE), and the shapes of the words before."""
     words, shape, at = hash_words(texts)
     n = len(texts)
     # an end after each text, and zeros before it in the contexts
@@ -56,10 +69,30 @@ def token_arrays(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]
     p1, p2, s1 = (np.concatenate((np.zeros(k, np.uint64), x[:-k])) for k, x in ((1, h), (2, h), (1, shapes)))
     p1[first] = p2[first] = s1[first] = 0
     p2[np.minimum(first + 1, ends)] = 0
-    ctx = np.empty((K, len(h)), np.int32)
-    for k, v in enumerate((None, p1, p1 + p2 * _PREV2, p2 * _SKIP + np.uint64(1), s1 * _SHAPE)):
-        ctx[k] = OFFSETS[k] if v is None else OFFSETS[k] + (mix(v) & np.uint64(CONTEXTS[k] - 1)).astype(np.int32) * NODES
-    return [(h[a : b + 1], ctx[:, a : b + 1]) for a, b in zip(first, ends, strict=True)]
+    ctx = np.stack([_contexts(k, p1, p2) for k in RARE])
+    return [(h[a : b + 1], ctx[:, a : b + 1], s1[a : b + 1].astype(np.int32)) for a, b in zip(first, ends, strict=True)]
+
+
+class Dense:
+    """Which contexts have dense tables."""
+
+    def __init__(self, hot_words: np.ndarray):
+        zero, w = np.zeros(1, np.uint64), np.concatenate((np.zeros(1, np.uint64), hot_words[: HOT - 1]))
+        self.hot = [np.unique(_contexts(k, *x)) for k, x in zip(RARE, ((w, w), (zero, zero), (w, w)), strict=True)]
+
+    def slots(self, ctx: np.ndarray, s1: np.ndarray) -> np.ndarray:
+        """Each token's first slot in every table (K rows); 0, that of no context, where a context isn't dense."""
+        out = np.zeros((K, ctx.shape[1]), np.int32)
+        for k, x, hot in zip(RARE, ctx, self.hot, strict=True):
+            at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+            out[k] = np.where(hot[at] == x, OFFSETS[k] + at * NODES, 0)
+        out[K - 1] = OFFSETS[K - 1] + s1 * NODES
+        return out
+
+
+def keys_of(h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """(context, class) of each token, a row for each of RARE, as signed numbers."""
+    return (ctx | (h & np.uint64(NODES - 1))).view(np.int64)
 
 
 def nodes_and_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,36 +103,112 @@ def nodes_and_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, (cls[:, None] >> (shifts - 1)) & 1
 
 
-def _train(batches):
-    """Partial word counts (chunk -1) and, at the end, context tables by chunk of the task's rows."""
+def _counted(held: list[np.ndarray]):
     import pyarrow as pa
 
-    tables, names, held = np.zeros((SLOTS, 2), np.uint32), ["chunk", "h", "n", "counts"], []
+    u, n = np.unique(np.concatenate(held), return_counts=True)
+    held.clear()
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), -1, np.int32)), pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.binary())], names=["chunk", "h", "n", "counts"])
 
-    def counted():
-        u, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), -1, np.int32)), pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.binary())], names=names)
 
+def _train_words(batches):
+    """Partial word counts."""
+    held = []
     for b in batches:
         for part in range(0, b.num_rows, DOCS):
-            docs = token_arrays(b.column(0).slice(part, DOCS).to_pylist())
-            h, ctx = np.concatenate([x[0] for x in docs]), np.concatenate([x[1] for x in docs], axis=1)
-            held.append(h)
-            for i in range(0, len(h), 1 << 16):
-                nodes, bits = nodes_and_bits(h[i : i + (1 << 16)])
-                code = nodes * 2 + bits
-                for k in range(K):
-                    lo, hi = OFFSETS[k], OFFSETS[k + 1]
-                    at = (ctx[k, i : i + (1 << 16), None] - lo) * 2 + code
-                    tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
+            held += [x[0] for x in token_arrays(b.column(0).slice(part, DOCS).to_pylist())]
             if sum(map(len, held)) > MERGE:
-                yield counted()
+                yield _counted(held)
     if held:
-        yield counted()
-    chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
-    chunks = [(c, x) for c, x in chunks if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in chunks], pa.binary())], names=names)
+        yield _counted(held)
+
+
+def _train_contexts(shared):
+    """Partial counts of the keys that aren't dense (chunk -1) and, at the end, dense tables by chunk of the task's rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        dense, tables, held = shared.value, np.zeros((SLOTS, 2), np.uint32), []
+        for b in batches:
+            for part in range(0, b.num_rows, DOCS):
+                docs = token_arrays(b.column(0).slice(part, DOCS).to_pylist())
+                h, ctx, s1 = np.concatenate([x[0] for x in docs]), np.concatenate([x[1] for x in docs], axis=1), np.concatenate([x[2] for x in docs])
+                for i in range(0, len(h), 1 << 16):
+                    some = slice(i, i + (1 << 16))
+                    slots = dense.slots(ctx[:, some], s1[some])
+                    nodes, bits = nodes_and_bits(h[some])
+                    code = nodes * 2 + bits
+                    for k in range(K):
+                        lo, hi = OFFSETS[k], OFFSETS[k + 1]
+                        there = slots[k] >= lo
+                        at = (slots[k][there, None] - lo) * 2 + code[there]
+                        tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
+                    held.append(keys_of(h[some], ctx[:, some])[slots[list(RARE)] == 0])
+                if sum(map(len, held)) > MERGE:
+                    yield _counted(held)
+        if held:
+            yield _counted(held)
+        chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
+        chunks = [(c, x) for c, x in chunks if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in chunks], pa.binary())], names=["chunk", "h", "n", "counts"])
+
+    return run
+
+
+def _ask(shared):
+    """The distinct keys of each document that aren't dense."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        dense = shared.value
+        for b in batches:
+            for part in range(0, b.num_rows, DOCS):
+                rows, texts = b.column(0).slice(part, DOCS).to_numpy(), b.column(1).slice(part, DOCS).to_pylist()
+                keys = [np.unique(keys_of(h, ctx)[dense.slots(ctx, s1)[list(RARE)] == 0]) for h, ctx, s1 in token_arrays(texts)]
+                at = np.repeat(rows, [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(at), np.int64)), pa.array(at)], names=["key", "n", "row"])
+
+    return run
+
+
+def answers(keys: np.ndarray, counted: np.ndarray, n: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key, whether its context was counted, and the logits of its eight bits there in sixteenths, as the bytes of one number."""
+    order = np.argsort(counted, kind="stable")
+    counted, total = counted[order], np.concatenate(([0], np.cumsum(n[order])))
+    # sightings below each node of the key's path, from all of the context's to those of the class
+    below = np.empty((BITS + 1, len(keys)))
+    for d in range(BITS + 1):
+        width = 1 << (BITS - d)
+        lo = keys & ~np.int64(width - 1)
+        below[d] = total[np.searchsorted(counted, lo + (width - 1), "right")] - total[np.searchsorted(counted, lo, "left")]
+    nodes, bits = nodes_and_bits(keys.view(np.uint64))
+    ones = np.where(bits.T > 0, below[1:], below[:-1] - below[1:])
+    p = (ones + PRIOR * prior[nodes.T]) / (below[:-1] + PRIOR)
+    logits = np.clip(np.rint(16 * np.log(p / (1 - p))), -127, 127).astype(np.int8)
+    return below[0] > 0, np.ascontiguousarray(logits.T).view(np.int64).ravel()
+
+
+def _answer(prior: np.ndarray):
+    """Answers to asked keys; rows come by context, counts (row -1) before questions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counted = n = np.zeros(0, np.int64)
+        for b in batches:
+            key, m, row = (b.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            asked = row >= 0
+            counted, n = np.concatenate((counted, key[~asked])), np.concatenate((n, m[~asked]))
+            seen, v = answers(key[asked], counted, n, prior)
+            yield pa.RecordBatch.from_arrays([pa.array(row[asked][seen]), pa.array(key[asked][seen]), pa.array(v[seen])], names=["row", "key", "v"])
+            last = counted >> BITS == key[-1] >> BITS
+            counted, n = counted[last], n[last]
+
+    return run
 
 
 def _sum_chunks(batches):
@@ -116,15 +225,29 @@ def _sum_chunks(batches):
 class Model:
     """What scoring broadcasts; its size is fixed by SLOTS and HEAD."""
 
-    def __init__(self, counts: np.ndarray, head_hashes: np.ndarray, head_base: np.ndarray, head_own: np.ndarray):
+    def __init__(self, counts: np.ndarray, head_hashes: np.ndarray, head_base: np.ndarray, head_own: np.ndarray, dense: Dense | None = None):
         n = counts.sum(axis=1, dtype=np.float64)
-        p = (counts[:, 1] + 0.4) / (n + 0.8)
+        self.prior = (counts[:NODES, 1] + 0.4) / (n[:NODES] + 0.8)
+        p = (counts[:, 1] + PRIOR * np.resize(self.prior, len(n))) / (n + PRIOR)
+        p[:NODES] = self.prior
         self.stretch = np.log(p / (1 - p)).astype(np.float32)
         order = np.argsort(head_hashes)
         self.hashes, self.base, self.own = head_hashes[order], head_base[order], head_own[order]
+        self.dense = dense
+
+    def place(self, doc, keys: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A text's hashes, slots, and for each of RARE whether its context is among the answers, and the logits there."""
+        h, ctx, s1 = doc
+        mine = keys_of(h, ctx)
+        if not len(keys):
+            return h, self.dense.slots(ctx, s1), np.zeros(mine.shape, bool), np.zeros((*mine.shape, BITS), np.int8)
+        order = np.argsort(keys)
+        keys, v = keys[order], v[order]
+        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        return h, self.dense.slots(ctx, s1), keys[at] == mine, v[at].view(np.int8).reshape(*mine.shape, BITS)
 
 
-def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _class_bits(model: Model, docs: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """log10 probability of the classes of each document's tokens; documents run side by side, block by block."""
     total = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
@@ -132,8 +255,12 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.n
     # one array of all tokens, each text padded to whole blocks: a step's tokens are found by index
     starts = np.concatenate(([0], np.cumsum(-(-sizes // BLOCK) * BLOCK)))
     tokens, slots = np.zeros(starts[-1], np.uint64), np.zeros((K, starts[-1]), np.int32)
+    given, logits = np.zeros((len(RARE), starts[-1]), bool), np.zeros((len(RARE), starts[-1], BITS), np.int8)
     for r, i in enumerate(order):
-        tokens[starts[r] : starts[r] + sizes[r]], slots[:, starts[r] : starts[r] + sizes[r]] = docs[i]
+        here = slice(starts[r], starts[r] + sizes[r])
+        tokens[here], slots[:, here] = docs[i][:2]
+        if len(docs[i]) > 2:
+            given[:, here], logits[:, here] = docs[i][2:]
     weights = np.full((len(docs), BITS, K), 1.1 / K, np.float32)
     cells = np.tile((np.arange(MAP_CELLS, dtype=np.float32) - MAP_CELLS / 2 + 0.5) * (16 / MAP_CELLS), (len(docs), BITS, 1))
     cells = 1 / (1 + np.exp(-cells))
@@ -149,6 +276,8 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.n
         x = np.empty((K, m, BLOCK, BITS), np.float32)
         for k in range(K):
             np.take(model.stretch, ctx[k][:, :, None] + nodes, out=x[k])
+        for r, k in enumerate(RARE):
+            np.copyto(x[k], logits[r][where] * np.float32(1 / 16), where=given[r][where][:, :, None])
         w = weights[:m]
         s = np.zeros((m, BLOCK, BITS), np.float32)
         for k in range(K):
@@ -175,22 +304,21 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.n
 def _score(shared):
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         model = shared.value
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for part in range(0, b.num_rows, DOCS):
-                ids, texts = (b.column(k).slice(part, DOCS).to_pylist() for k in (0, 1))
-                docs, out = token_arrays(texts), []
+                rows, ids, texts = (b.column(k).slice(part, DOCS).to_pylist() for k in (0, 1, 2))
+                got = b.column(3).slice(part, DOCS)
+                at, keys, v = got.offsets.to_numpy(), *(got.values.field(k).to_numpy() for k in (0, 1))
+                docs, out = [model.place(d, keys[at[j] : at[j + 1]], v[at[j] : at[j + 1]]) for j, d in enumerate(token_arrays(texts))], []
                 bits = _class_bits(model, docs)
-                for j, (h, _) in enumerate(docs):
+                for j, (h, *_) in enumerate(docs):
                     u, n = np.unique(h, return_counts=True)
                     at = np.minimum(np.searchsorted(model.hashes, u), max(len(model.hashes) - 1, 0))
                     known = model.hashes[at] == u if len(model.hashes) else np.zeros(len(u), bool)
                     k, at = n[known], at[known]
-                    out.append((row, ids[j], len((texts[j] or "").encode("utf-8", "surrogatepass")), len(h), int(k.sum()), float((k * model.base[at]).sum()), float((k * model.own[at]).sum()) + float(bits[j]), u[~known].view(np.int64), n[~known]))
-                    row += 1
+                    out.append((rows[j], ids[j], len((texts[j] or "").encode("utf-8", "surrogatepass")), len(h), int(k.sum()), float((k * model.base[at]).sum()), float((k * model.own[at]).sum()) + float(bits[j]), u[~known].view(np.int64), n[~known]))
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "n_tokens", "n_known", "base", "own", "rare", "times"])
@@ -202,8 +330,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs under a model of training."""
     spark = docs.sparkSession
     texts = training.select(F.col(text_col).cast("string").alias("text"))
-    got = stored(texts.mapInArrow(_train, "chunk int, h long, n long, counts binary"), "trained")
-    words = got.where(F.col("chunk") < 0).groupBy("h").agg(F.sum("n").alias("c"))
+    shape = "chunk int, h long, n long, counts binary"
+    words = texts.mapInArrow(_train_words, shape).groupBy("h").agg(F.sum("n").alias("c"))
     # counts are positive and END is a token: the number of tokens and of words by class, 256 rows
     words = stored(words.withColumn("class", F.col("h").bitwiseAND(F.lit(NODES - 1)).cast("int")), "words")
     by_class = {r["class"]: (r["c"], r["v"]) for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
@@ -214,12 +342,22 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     top = words.orderBy(F.desc("c"), "h").limit(head).select("h", "c").toArrow()
     h, c = (top.column(k).to_numpy() for k in (0, 1))
     own = np.log10(c + 0.5)
+    dense = Dense(h.view(np.uint64))
+    shared = spark.sparkContext.broadcast(dense)
+    got = stored(texts.mapInArrow(_train_contexts(shared), shape), "trained")
     chunks = got.where(F.col("chunk") >= 0).select("chunk", "counts").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     counts = np.zeros((-(-SLOTS // CHUNK) * CHUNK, 2), np.uint64)
     for r in chunks.toLocalIterator():
         counts[r["chunk"] * CHUNK :][: len(r["counts"]) // 16] = np.frombuffer(r["counts"], "<u8").reshape(-1, 2)
-    model = Model(counts[:SLOTS], h.view(np.uint64), own - whole, own - class_whole[h & (NODES - 1)])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = Model(counts[:SLOTS], h.view(np.uint64), own - whole, own - class_whole[h & (NODES - 1)], dense)
+    # a row's number is stored with it: its keys and their answers refer to it
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
+    asked = rows.select("row", "text").mapInArrow(_ask(shared), "key long, n long, row long")
+    table_ = got.where(F.col("chunk") < 0).select(F.col("h").alias("key"), "n", F.lit(-1).cast("long").alias("row"))
+    context = F.shiftright("key", BITS)
+    dealt = table_.unionByName(asked).repartition(context).sortWithinPartitions(context, "row")
+    answered = dealt.mapInArrow(_answer(model.prior), "row long, key long, v long").groupBy("row").agg(F.collect_list(F.struct("key", "v")).alias("got"))
+    rows = rows.join(answered.hint("merge"), "row", "left").select("row", "doc_id", "text", F.coalesce("got", F.array().cast("array<struct<key:bigint,v:bigint>>")).alias("got"))
     shape = "row long, doc_id long, n_bytes long, n_tokens long, n_known long, base double, own double, rare array<long>, times array<long>"
     part = stored(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), shape), "scored")
     rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))

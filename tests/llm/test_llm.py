@@ -234,6 +234,30 @@ def test_mixing_base_and_gain(spark, odd):
     assert all(r["n_known"] == 0 for r in mixing.score(odd, docs(spark).limit(0)).collect())
 
 
+def test_mixing_keeps_every_context_apart(spark):
+    import numpy as np
+
+    # 5,000 contexts, each followed by one word of its own: far more than any fixed number of buckets tells apart
+    texts = [(i, " ".join(f"c{k} f{k * 7919 % 5003}" for k in range(i * 50, i * 50 + 50))) for i in range(100)]
+    train = spark.createDataFrame(texts, "doc_id long, text string")
+    wrong = train.select((F.col("doc_id") + 1000).alias("doc_id"), F.concat_ws(" ", F.reverse(F.split("text", " "))).alias("text"))
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in mixing.score(train.unionByName(wrong), train, head=50).collect()}
+    assert all(got[i] > 100 and got[i] > got[i + 1000] + 100 for i in range(100))
+    # the answer to a key equals counting below each node of its path, also where the counts come in parts
+    rng = np.random.default_rng(4)
+    counted, n = rng.integers(0, 4, 300) * 256 + rng.integers(0, 256, 300), rng.integers(1, 9, 300)
+    keys, prior = rng.integers(0, 6, 50) * 256 + rng.integers(0, 256, 50), rng.uniform(0.2, 0.8, 256)
+    seen, v = mixing.answers(keys, counted, n, prior)
+    for key, s, logits in zip(keys, seen, v.view(np.int8).reshape(-1, 8)):
+        mine = [(c & 255, m) for c, m in zip(counted, n) if c >> 8 == key >> 8]
+        assert s == bool(mine)
+        for d in range(8):
+            under = [(c, m) for c, m in mine if c >> (8 - d) == (key & 255) >> (8 - d)]
+            ones = sum(m for c, m in under if c >> (7 - d) & 1)
+            p = (ones + mixing.PRIOR * prior[1 << d | (key & 255) >> (8 - d)]) / (sum(m for _, m in under) + mixing.PRIOR)
+            assert abs(logits[d] / 16 - math.log(p / (1 - p))) < 0.04
+
+
 def test_mixing_class_probabilities_sum_to_one():
     import numpy as np
 
