@@ -8,8 +8,9 @@ the same text everywhere has none; one whose text differs from page to page has
 
 The tree can't judge a host of few pages, nor a menu whose text differs on each page. So what HTML itself states comes
 first: navigation, page headers and footers, asides, forms, scripts and the like, and elements whose class, id or role says
-so (advert, notice, sidebar, reader comments) are never content, and what stands inside an article or main element
-otherwise always is. Entropy decides all the rest, on nodes seen on at least ``MIN_PAGES`` pages.
+so (advert, notice, sidebar, reader comments) are never content. Entropy decides all the rest, inside article and main
+elements too, on nodes seen on at least ``MIN_PAGES`` pages. Inside those elements pages that hold the same text there count
+as one: copies of an article don't make it a part of the site's layout.
 
 Only hashes of paths and texts are counted by (host, path, text), so a hot host is spread over its texts; no host's
 pages ever meet in one task. Pages from which a block goes are joined with their list of removed blocks by a key of
@@ -76,7 +77,7 @@ def _dropped(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
 
 
 def blocks_of(page: str | None) -> Iterator[tuple[str, int, str]]:
-    """(path, state, text) of each non-empty block in page order. state: 0 never content, 1 undecided, 2 in an article."""
+    """(path, state, text) of each non-empty block in page order. state: 0 never content, 1 undecided, 2 undecided in an article or main element."""
     page = page or ""
     stack: list[tuple[str, str, int]] = []  # tag, path, state
     parts: list[str] = []
@@ -165,25 +166,28 @@ def _features(html_col: str, url_col: str):
         for b in batches:
             rows = []
             for page, url in zip(b.column(b.schema.get_field_index(html_col)).to_pylist(), b.column(b.schema.get_field_index(url_col)).to_pylist(), strict=True):
-                open_ = [(i, p, t) for i, (p, s, t) in enumerate(blocks_of(page)) if s == 1]
+                open_ = [(i, p, s, t) for i, (p, s, t) in enumerate(blocks_of(page)) if s]
                 if open_:
                     layout: dict[str, list[str]] = {}
-                    for _, p, _t in open_:
+                    for _, p, _s, _t in open_:
                         layout.setdefault(p.rpartition("/")[0], []).append(p.rpartition("/")[2])
-                    rows += [(page_key(page), host_of(url), i, _hash(p), _hash(p.rpartition("/")[0]), _hash(" ".join(dict.fromkeys(layout[p.rpartition("/")[0]]))), _hash(t)) for i, p, t in open_]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(cols)], names=["page", "host", "at", "path", "parent", "layout", "content"])
+                    key = page_key(page)
+                    voice = {1: key, 2: _hash("\n".join(t for _, _p, s, t in open_ if s == 2))}
+                    rows += [(key, voice[s], host_of(url), i, _hash(p), _hash(p.rpartition("/")[0]), _hash(" ".join(dict.fromkeys(layout[p.rpartition("/")[0]]))), _hash(t)) for i, p, s, t in open_]
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(cols)], names=["page", "voice", "host", "at", "path", "parent", "layout", "content"])
 
     return run
 
 
-_FEATURES = "page long, host string, at long, path long, parent long, layout long, content long"
+#: voice: what counts as one page for a block; the page, or inside article and main all that stands there.
+_FEATURES = "page long, voice long, host string, at long, path long, parent long, layout long, content long"
 
 
 def low_blocks(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page, drop array<long>): the undecided blocks of each page whose importance in the site's style tree is low."""
     f = stored(pages.select(F.col(html_col).cast("string").alias(html_col), F.col(url_col).cast("string").alias(url_col)).mapInArrow(_features(html_col, url_col), _FEATURES), "blocks")
-    pages_of = lambda *keys: f.select(*keys, "page").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    pages_of = lambda *keys: f.select(*keys, "voice").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
     node = pages_of("host", "path").withColumnRenamed("n", "m")
     content = pages_of("host", "path", "content").withColumnRenamed("n", "same")
     layouts = pages_of("host", "parent", "layout")

@@ -137,6 +137,17 @@ def test_html(spark):
     assert (got[10], got[11], got[12], got[13]) == ("", "plain", "cut off", "")
 
 
+def test_html_judges_blocks_inside_articles(spark):
+    page = "<main><article><h1>Head {0}</h1><p>Own words of text {0}.</p><p>{1}</p></article></main>"
+    rows = [(i, "http://h/x", page.format(i, "The same on every page")) for i in range(8)]
+    rows += [(100 + i, "http://copies/x", f"<title>{i}</title>" + page.format("of one", "A copied article")) for i in range(8)]
+    rows += [(200 + i, "http://few/x", page.format(i, "The same on three pages")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\nOwn words of text {i}." for i in range(8))
+    assert all(got[100 + i] == "Head of one\nOwn words of text of one.\nA copied article" for i in range(8))
+    assert all(got[200 + i].endswith("The same on three pages") for i in range(3))
+
+
 def brute_components(texts, percent):
     sets = {}
     for k, t in texts.items():
