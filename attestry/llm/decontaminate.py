@@ -10,7 +10,7 @@ Names are capitalised words that follow a lower-case letter, digit or comma (so
 units count as such after a number. A text with fewer tokens than a window is one window, and matches only a text
 with the same tokens. Windows with fewer than half of their tokens literal are left out: they'd match anything.
 
-Edge cases: null or empty texts match nothing; items with the same windows are reported under the smallest item_id;
+Edge cases: null or empty texts match nothing; items with the same windows and slot values (copies) are reported under the smallest item_id;
 null ids are kept as such; repeated documents are each counted under their id; empty tables give no rows.
 Other columns of the input are not read.
 """
@@ -59,11 +59,12 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     b = _once(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("t")), "_raw", raw_tokens(F.col("t")))
     b = _windows(b.select("item_id", "_raw"), window).where(F.size("_h") > 0)
     slot = lambda t: canonical(t).startswith("<")
-    b = b.select("item_id", "_raw", "_h", F.posexplode("_h").alias("item_at", "h"))
+    values = F.transform("_raw", lambda t: F.when(slot(t), F.lower(t)).otherwise(F.lit("")))
+    b = b.select("item_id", "_raw", F.xxhash64("_h", values).alias("same"), F.posexplode("_h").alias("item_at", "h"))
     mine = F.slice("_raw", F.col("item_at") + 1, window)
     slots = F.filter(F.transform(mine, lambda t, i: F.struct(i.alias("at"), F.when(slot(t), F.lower(t)).alias("value"))), lambda s: s["value"].isNotNull())
-    b = b.select("item_id", "h", "item_at", F.xxhash64("_h").alias("same"), slots.alias("slots"), F.size(mine).alias("k")).where(2 * F.size("slots") <= F.col("k"))
-    # of items with the same windows one stays: links are not multiplied by copies of an item
+    b = b.select("item_id", "h", "item_at", "same", slots.alias("slots"), F.size(mine).alias("k")).where(2 * F.size("slots") <= F.col("k"))
+    # of items with the same windows and slot values one stays: links are not multiplied by copies of an item
     first = b.groupBy("same").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_at").cast("long").alias("n_windows"))
     return b.join(first, ["same", "item_id"]).select("h", "item_id", "item_at", "n_windows", "slots").dropDuplicates(["h", "item_id", "item_at"])
 

@@ -215,6 +215,15 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(d, bench.limit(0)).count() == decontaminate.contaminated(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_tells_items_of_one_template_apart(spark):
+    q = "At the market a clerk sells {} pens and also {} books to each of the waiting customers; how many things are sold?"
+    bench = spark.createDataFrame([(1, q.format(3, 3)), (2, q.format(3, 5)), (3, q.format(3, 5)), (4, q.format(2, 7))], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Intro. " + q.format(3, 5)), (2, "Intro. " + q.format(3, 3))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(d, bench).collect()}
+    assert got == {(1, 2, "verbatim"), (1, 4, "reparameterised"), (2, 1, "verbatim")}
+    assert decontaminate.remove_contaminated(d, bench).count() == 0
+
+
 def test_decontamination_finds_what_a_plain_search_finds(spark):
     import re
 
