@@ -224,6 +224,16 @@ def test_decontamination_tells_items_of_one_template_apart(spark):
     assert decontaminate.remove_contaminated(d, bench).count() == 0
 
 
+def test_decontamination_finds_short_and_slot_heavy_items(spark):
+    long_sum = " + ".join(str(i * 37) for i in range(21))
+    items = ["Who painted the Night Watch?", "12 + 30 = 42", f"What is {long_sum}?", "1492 1776"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    rows = [(k, f"Some words that come before it. {t} And a few more that follow after it.") for k, t in enumerate(items, 1)]
+    rows += [(5, "Who painted the old Night Watch, and when was that, if anyone still knows?"), (6, "what is " + long_sum.replace("370", "371") + " plus some more"), (7, "1492, 1776.")]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (3, 3, "verbatim"), (7, 4, "verbatim")}
+
+
 def test_decontamination_finds_what_a_plain_search_finds(spark):
     import re
 
