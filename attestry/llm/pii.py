@@ -11,7 +11,9 @@ everywhere, so coreference stays; different entities get different ones:
   hash until there are none.
 
 Names are found by their title, whose gender picks the given names and whose script picks the alphabet.
-Texts without a digit, an at sign or a title never meet the entity pattern.
+Texts without a digit, an at sign, a title, a key's prefix or 32 hexadecimal letters in a row hold no entity and never meet the pattern.
+Phone numbers are found with a plus and country code, with an area code in parentheses, or as 555-123-4567 or 555.123.4567, the
+latter forms also after a leading 1. Other national ways of writing them are left, as they look like any other numbers.
 
 Edge cases: a null text stays null, with no entities; an empty table gives no rows; repeated rows are replaced
 alike; very long texts are one row like others. Columns of the input called n_entities are replaced; others stay.
@@ -30,13 +32,14 @@ FEMALE_TITLES = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Señorita|Doña"
 OTHER_TITLES = "Dr|Prof"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*\.\p{L}{2,}"
 SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])"
+NATIONAL = r"(?<![\p{L}\p{N}.\-])(?:1[ .\-])?(?:\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4})(?![.\-]?\d)"
 PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\p{L}\p{N}])"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}[\p{{Ll}}'\-]+(?: \p{{Lu}}[\p{{Ll}}'\-]+){{0,2}}"
-ENTITY = "|".join((EMAIL, SECRET, PHONE, IP, SSN, CARD, NAME))
-HINT = rf"[0-9@]|\b(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\b"
+ENTITY = "|".join((EMAIL, SECRET, PHONE, NATIONAL, IP, SSN, CARD, NAME))
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|\b(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\b"
 GIVEN = {
     ("f", "latin"): ("Ada", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna", "Ida", "Julia", "Karla", "Lena", "Maria", "Nora", "Olga", "Petra"),
     ("m", "latin"): ("Adam", "Boris", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Kurt", "Leo", "Martin", "Noah", "Oskar", "Paul"),
@@ -105,7 +108,7 @@ def fill_digits(shape: Column, digits: Column) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    code = F.regexp_extract(x, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    code = F.regexp_extract(x, r"^(?:\+\d{1,3}|1)(?=[ .\-(])", 0)
     rest = F.substr(x, F.length(code) + 1, F.length(x))
     return F.concat(code, _let(rest, lambda r: fill_digits(r, permute_digits(_digits(r), key, "phone"))))
 
@@ -174,7 +177,7 @@ def _name(x: Column, key: str, width: int) -> Column:
 
 def kind_of(x: Column) -> Column:
     whole = lambda p: F.rlike(x, F.lit(f"^(?:{p})$"))
-    return F.when(F.contains(x, F.lit("@")), "email").when(whole(SECRET), "secret").when(F.startswith(x, F.lit("+")), "phone").when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(CARD), "card").otherwise("name")
+    return F.when(F.contains(x, F.lit("@")), "email").when(whole(SECRET), "secret").when(F.startswith(x, F.lit("+")) | whole(NATIONAL), "phone").when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(CARD), "card").otherwise("name")
 
 
 def surrogate(x: Column, key: str = KEY, width: int = 12) -> Column:

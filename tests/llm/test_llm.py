@@ -312,6 +312,19 @@ def test_pii(spark, odd):
     assert pii.replace_pii(odd.limit(0)).count() == 0
 
 
+def test_pii_finds_keys_of_letters_and_national_phones(spark):
+    texts = ["key AKIA" + "ABCDEFGHIJKLMNOP here", "key sk-" + "abcdefghijKLMNOPQRST here", "key ghp_" + "abcdefghijkl" * 3 + " here", "key " + "abcdef" * 6 + " here"]
+    phones = ["call (555) 123-4567 now", "call 555-123-4567 now", "call 1-555-123-4567 now", "call +1 555-123-4567 now"]
+    df = spark.createDataFrame(list(enumerate([*texts, *phones, "no task-like thing, 12-34 and 1.2.3 stay"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(df).collect()}
+    for k, t in enumerate([*texts, *phones]):
+        assert got[k][1] == 1 and got[k][0] != t and len(got[k][0]) == len(t)
+    # one number gets one surrogate however it is written
+    digits = ["".join(c for c in got[k][0] if c.isdigit())[-10:] for k in range(4, 8)]
+    assert len(set(digits)) == 1
+    assert got[8] == ("no task-like thing, 12-34 and 1.2.3 stay", 0)
+
+
 def test_surrogates_are_distinct(spark):
     n = 2000
     ids = spark.range(n)
