@@ -2,21 +2,25 @@
 
 Tokens are the words of a text and one end. A token's probability is that of its class, eight bits of its hash, times
 its own within the class, (c + 0.5) / (C + 0.5 (V + 1)) from exact counts over the whole training corpus. The class is
-coded bit by bit. Several predictors, each a table of bit counts by context (nothing; the word before; the two words
-before; the one before the last; the ending and length of the word before), give probabilities; a mixer adds them in the logistic domain
-with weights that a gate, the bit's place, selects; an adaptive map then corrects the result by what was seen at
-that place at about that probability. Every text starts from the same trained state; the weights and the map adapt while it
-is read, after each block of ``BLOCK`` tokens, so a score depends on its text and the corpus alone.
-
-Every distinct context has counts of its own, however many the corpus holds. A context's probability leans on that of
-no context, which counts as ``PRIOR`` sightings, and is that alone where it wasn't seen in training. Contexts of the ``HOT`` most
-frequent words, of a text's start and of all endings are dense tables that are broadcast; their number is fixed. All
-others, as (context, class) keys of 64 bits, are counted and meet the documents' keys in a shuffle by context, which
-gives back a logit in sixteenths for each bit. Word counts cover the whole vocabulary too: the ``HEAD`` most frequent words are
-broadcast, all others meet their counts in a shuffle join. Two words of one 64-bit hash, or two contexts of one 56-bit hash, count as one.
+coded bit by bit. Several predictors give each bit's probability by context: nothing; the word before; the one before
+that; the ending and length of the word before; both words before. A mixer adds them in the logistic domain with weights that a
+gate, the bit's place, selects; an adaptive map then corrects the result by what was seen at that place at about that probability.
+Every text starts from the same trained state; weights and map adapt while it is read, after each
+block of ``BLOCK`` tokens, so a score depends on its text and the corpus alone.
+
+What is learned grows with the corpus: every distinct word, and every distinct pair of words before a token, has
+counts of its own. The first three contexts are hashed to the fixed ``CONTEXTS``, whose tables are broadcast. A context of two words leans on
+the word before, which counts as one sighting, and is that alone where it wasn't seen in training.
+
+Texts are read in batches of about ``BATCH`` bytes, written once. A batch asks for its distinct words and (context, class) keys,
+with their training counts, in one blob for each range of keys; a range's task sums them and sends each batch the totals in the
+order of its keys. So a key is shuffled once per batch, however often it occurs there, and no task holds more than one
+range (about ``RANGE`` bytes of text's worth) or one batch. Words have 64 bits of hash, contexts seven more than the corpus has bytes in
+powers of two (56 at most), so that about a thousandth meets another.
 
 Edge cases: a null or empty text is its end token alone; with no training rows every token is unknown; rows that
-repeat are scored each; long texts are read whole, in blocks; an empty table gives no rows. Other columns are not read.
+repeat are scored each; a text longer than ``BATCH`` bytes is read in pieces of that size, with the words before carried and weights
+and map started again; a null teach doesn't teach; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,74 +29,106 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, stored, table
+from .common import crc, stored, table, tidied
 from .shingles import hash_words, mix
 
 BITS = 8
 NODES = 1 << BITS
-#: Words whose contexts are dense tables, less one for the start of a text; it changes what is shuffled, not what is counted.
-HOT = 1024
-#: Dense contexts of each predictor. Endings and lengths (12 bits) are all dense.
-CONTEXTS = (1, HOT, 1, HOT, 4096)
-#: Predictors with a shuffled table, and the sightings that no context counts as in a context.
-RARE, PRIOR = (1, 2, 3), 1.0
-K = len(CONTEXTS)
+#: Contexts of each predictor with a fixed table: nothing, the word before, the one before that, its ending (a byte) and length up to 15.
+CONTEXTS = (1, 2048, 512, 4096)
+K = len(CONTEXTS) + 1
 OFFSETS = np.concatenate(([0], np.cumsum(CONTEXTS))) * NODES
 SLOTS = int(OFFSETS[-1])
-CHUNK = 4096
+CHUNK = 1 << 16
 BLOCK = 32
-#: Documents that a task holds as arrays at once.
+#: Texts that are read side by side.
 DOCS = 256
+BATCH, RANGE = 4_000_000, 20_000_000
 RATE, MAP_RATE, MAP_CELLS = 0.002, 0.02, 24
-HEAD = 100_000
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Tokens whose hashes a task holds before it counts them.
-MERGE = 2_000_000
-_PREV2, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
+_PREV2 = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = b" \t\n\x0b\x0c\r"
+
+
+def pieces(text: str | None, most: int = BATCH):
+    """(piece, words to skip, whether it is the last, its bytes): a text cut at white space, each piece led by the two words before it."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    at, lead = 0, b""
+    while True:
+        end = min(len(raw), at + most)
+        while end < len(raw) and raw[end] not in _WHITE:
+            end += 1
+        piece = raw[at:end]
+        yield (lead + piece).decode("utf-8", "surrogatepass"), len(lead.split()), end == len(raw), len(piece)
+        if end == len(raw):
+            return
+        lead, at = b" ".join((lead + piece[-most:]).split()[-2:]) + b" ", end
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    import pyarrow as pa
 
-def _contexts(k: int, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """The hash of predictor k's context, its low 8 bits zero, by the words before."""
-    v = (p1, p1 + p2 * _PREV2 + np.uint64(2), p2 * _SKIP + np.uint64(1))[k - 1]
-    return mix(v) & ~np.uint64(NODES - 1)
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "teach": pa.bool_(), "text": pa.string(), "skip": pa.int64(), "last": pa.bool_(), "bytes": pa.int64()}
+    b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
-def token_arrays(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text the hashes of its tokens, each token's contexts (a row for each of RARE), and the shapes of the words before."""
-    words, shape, at = hash_words(texts)
-    n = len(texts)
-    # an end after each text, and zeros before it in the contexts
-    ends = at[1:] + np.arange(n)
-    h, shapes = np.insert(words, at[1:], END), np.insert(shape, at[1:], np.uint64(0))
-    first = ends - np.diff(at)
-    p1, p2, s1 = (np.concatenate((np.zeros(k, np.uint64), x[:-k])) for k, x in ((1, h), (2, h), (1, shapes)))
-    p1[first] = p2[first] = s1[first] = 0
-    p2[np.minimum(first + 1, ends)] = 0
-    ctx = np.stack([_contexts(k, p1, p2) for k in RARE])
-    return [(h[a : b + 1], ctx[:, a : b + 1], s1[a : b + 1].astype(np.int32)) for a, b in zip(first, ends, strict=True)]
+def _unpacked(blob: bytes) -> dict[str, list]:
+    import pyarrow as pa
 
+    return pa.ipc.open_stream(blob).read_all().to_pydict()
 
-class Dense:
-    """Which contexts have dense tables."""
 
-    def __init__(self, hot_words: np.ndarray):
-        zero, w = np.zeros(1, np.uint64), np.concatenate((np.zeros(1, np.uint64), hot_words[: HOT - 1]))
-        self.hot = [np.unique(_contexts(k, *x)) for k, x in zip(RARE, ((w, w), (zero, zero), (w, w)), strict=True)]
+def _batched(batches):
+    """(batch, bytes, blob): texts in batches of about BATCH bytes."""
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-    def slots(self, ctx: np.ndarray, s1: np.ndarray) -> np.ndarray:
-        """Each token's first slot in every table (K rows); 0, that of no context, where a context isn't dense."""
-        out = np.zeros((K, ctx.shape[1]), np.int32)
-        for k, x, hot in zip(RARE, ctx, self.hot, strict=True):
-            at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-            out[k] = np.where(hot[at] == x, OFFSETS[k] + at * NODES, 0)
-        out[K - 1] = OFFSETS[K - 1] + s1 * NODES
-        return out
+    part, row, n, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([size]), pa.array([_packed(held)], pa.binary())], names=["batch", "bytes", "blob"])
 
-def keys_of(h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """(context, class) of each token, a row for each of RARE, as signed numbers."""
-    return (ctx | (h & np.uint64(NODES - 1))).view(np.int64)
+    for b in batches:
+        for i in range(b.num_rows):
+            doc_id, text, teach = (b.column(k)[i].as_py() for k in range(3))
+            for piece in pieces(text):
+                held.append((part << 40 | row, doc_id, bool(teach), *piece))
+                size += piece[3]
+                if size >= BATCH:
+                    yield batch()
+                    n, held, size = n + 1, [], 0
+            row += 1
+    if held:
+        yield batch()
+
+
+class Tokens:
+    """Tokens of a batch: hashes, slots of the fixed contexts, keys (context, class) of the two words before, and where texts start."""
+
+    def __init__(self, texts: list[str], skip: list[int], last: list[bool], width: int):
+        words, shape, at = hash_words(texts)
+        # an end after each text, and zeros before it in the contexts
+        ends = at[1:] + np.arange(len(texts))
+        h, shapes = np.insert(words, at[1:], END), np.insert(shape, at[1:], np.uint64(0))
+        first = ends - np.diff(at)
+        p1, p2, s1 = (np.concatenate((np.zeros(k, np.uint64), x))[: len(x)] for k, x in ((1, h), (2, h), (1, shapes)))
+        p1[first] = p2[first] = s1[first] = 0
+        p2[np.minimum(first + 1, ends)] = 0
+        keep = np.ones(len(h), bool)
+        keep[ends[~np.array(last, bool)]] = False
+        for i in np.flatnonzero(skip):
+            keep[first[i] : first[i] + skip[i]] = False
+        self.at = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, first, dtype=np.int64))))
+        if not keep.all():
+            h, p1, p2, s1 = h[keep], p1[keep], p2[keep], s1[keep]
+        self.h, high = h, np.uint64(32)
+        self.slots = np.stack([OFFSETS[1] + ((p1 >> high) % np.uint64(CONTEXTS[1])).astype(np.int32) * NODES, OFFSETS[2] + ((p2 >> high) % np.uint64(CONTEXTS[2])).astype(np.int32) * NODES, OFFSETS[3] + s1.astype(np.int32) * NODES]).astype(np.int32)
+        self.keys = mix(p1 + p2 * _PREV2 + np.uint64(2)) >> np.uint64(64 - width) << np.uint64(BITS) | h & np.uint64(NODES - 1)
 
 
 def nodes_and_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,181 +139,212 @@ def nodes_and_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, (cls[:, None] >> (shifts - 1)) & 1
 
 
-def _counted(held: list[np.ndarray]):
-    import pyarrow as pa
+def range_of(keys: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """Which of the parts, in the order of the keys, each key of that many bits falls in."""
+    return (keys >> np.uint64(width - 32)) * np.uint64(parts) >> np.uint64(32)
 
-    u, n = np.unique(np.concatenate(held), return_counts=True)
-    held.clear()
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), -1, np.int32)), pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.binary())], names=["chunk", "h", "n", "counts"])
 
+def _planes(x: np.ndarray) -> bytes:
+    """Little-endian numbers with equal bytes together: mostly zeros, which compress well."""
+    raw = np.ascontiguousarray(x).view(np.uint8)
+    return b"".join(raw[i :: x.itemsize].tobytes() for i in range(x.itemsize))
 
-def _train_words(batches):
-    """Partial word counts."""
-    held = []
-    for b in batches:
-        for part in range(0, b.num_rows, DOCS):
-            held += [x[0] for x in token_arrays(b.column(0).slice(part, DOCS).to_pylist())]
-            if sum(map(len, held)) > MERGE:
-                yield _counted(held)
-    if held:
-        yield _counted(held)
 
+def _numbers(raw: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    x, out = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n), np.empty(n * size, np.uint8)
+    for i in range(size):
+        out[i::size] = x[i]
+    return out.view(kind), at + n * size
 
-def _train_contexts(shared):
-    """Partial counts of the keys that aren't dense (chunk -1) and, at the end, dense tables by chunk of the task's rows."""
 
-    def run(batches):
-        import pyarrow as pa
+def _zipped(sizes: tuple[int, ...], *arrays: np.ndarray) -> bytes:
+    import zstandard
 
-        dense, tables, held = shared.value, np.zeros((SLOTS, 2), np.uint32), []
-        for b in batches:
-            for part in range(0, b.num_rows, DOCS):
-                docs = token_arrays(b.column(0).slice(part, DOCS).to_pylist())
-                h, ctx, s1 = np.concatenate([x[0] for x in docs]), np.concatenate([x[1] for x in docs], axis=1), np.concatenate([x[2] for x in docs])
-                for i in range(0, len(h), 1 << 16):
-                    some = slice(i, i + (1 << 16))
-                    slots = dense.slots(ctx[:, some], s1[some])
-                    nodes, bits = nodes_and_bits(h[some])
-                    code = nodes * 2 + bits
-                    for k in range(K):
-                        lo, hi = OFFSETS[k], OFFSETS[k + 1]
-                        there = slots[k] >= lo
-                        at = (slots[k][there, None] - lo) * 2 + code[there]
-                        tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
-                    held.append(keys_of(h[some], ctx[:, some])[slots[list(RARE)] == 0])
-                if sum(map(len, held)) > MERGE:
-                    yield _counted(held)
-        if held:
-            yield _counted(held)
-        chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
-        chunks = [(c, x) for c, x in chunks if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in chunks], pa.binary())], names=["chunk", "h", "n", "counts"])
+    return zstandard.ZstdCompressor(3).compress(np.array(sizes, "<u4").tobytes() + b"".join(map(_planes, arrays)))
 
-    return run
 
+def _unzipped(blob: bytes) -> bytes:
+    import zstandard
 
-def _ask(shared):
-    """The distinct keys of each document that aren't dense."""
+    return zstandard.ZstdDecompressor().decompress(blob)
 
-    def run(batches):
-        import pyarrow as pa
 
-        dense = shared.value
-        for b in batches:
-            for part in range(0, b.num_rows, DOCS):
-                rows, texts = b.column(0).slice(part, DOCS).to_numpy(), b.column(1).slice(part, DOCS).to_pylist()
-                keys = [np.unique(keys_of(h, ctx)[dense.slots(ctx, s1)[list(RARE)] == 0]) for h, ctx, s1 in token_arrays(texts)]
-                at = np.repeat(rows, [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(at), np.int64)), pa.array(at)], names=["key", "n", "row"])
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
 
-    return run
 
+_SHAPE = "part int, kind int, key long, blob binary"
+QUESTION, TABLE, CLASSES = 0, 1, 2
 
-def answers(keys: np.ndarray, counted: np.ndarray, n: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key, whether its context was counted, and the logits of its eight bits there in sixteenths, as the bytes of one number."""
-    order = np.argsort(counted, kind="stable")
-    counted, total = counted[order], np.concatenate(([0], np.cumsum(n[order])))
-    # sightings below each node of the key's path, from all of the context's to those of the class
-    below = np.empty((BITS + 1, len(keys)))
-    for d in range(BITS + 1):
-        width = 1 << (BITS - d)
-        lo = keys & ~np.int64(width - 1)
-        below[d] = total[np.searchsorted(counted, lo + (width - 1), "right")] - total[np.searchsorted(counted, lo, "left")]
-    nodes, bits = nodes_and_bits(keys.view(np.uint64))
-    ones = np.where(bits.T > 0, below[1:], below[:-1] - below[1:])
-    p = (ones + PRIOR * prior[nodes.T]) / (below[:-1] + PRIOR)
-    logits = np.clip(np.rint(16 * np.log(p / (1 - p))), -127, 127).astype(np.int8)
-    return below[0] > 0, np.ascontiguousarray(logits.T).view(np.int64).ravel()
 
+def _rows(rows: list[tuple]):
+    import pyarrow as pa
 
-def _answer(prior: np.ndarray):
-    """Answers to asked keys; rows come by context, counts (row -1) before questions."""
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "kind", "key", "blob"])
 
-    def run(batches):
-        import pyarrow as pa
 
-        counted = n = np.zeros(0, np.int64)
+def _ask(width: int, parts: int):
+    """Each batch's distinct words and keys with their training counts, by range; at the end the task's fixed tables, by chunk."""
+
+    def run(batches):
+        tables = np.zeros((SLOTS, 2), np.uint32)
         for b in batches:
-            key, m, row = (b.column(i).to_numpy() for i in range(3))
-            if not len(key):
-                continue
-            asked = row >= 0
-            counted, n = np.concatenate((counted, key[~asked])), np.concatenate((n, m[~asked]))
-            seen, v = answers(key[asked], counted, n, prior)
-            yield pa.RecordBatch.from_arrays([pa.array(row[asked][seen]), pa.array(key[asked][seen]), pa.array(v[seen])], names=["row", "key", "v"])
-            last = counted >> BITS == key[-1] >> BITS
-            counted, n = counted[last], n[last]
+            for batch, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                docs = _unpacked(blob)
+                t = Tokens(docs["text"], docs["skip"], docs["last"], width)
+                teach = np.repeat(np.array(docs["teach"], bool), np.diff(t.at))
+                asked = []
+                for keys, bits in ((t.h, 64), (t.keys, width + BITS)):
+                    u, inverse = np.unique(keys, return_inverse=True)
+                    n = np.bincount(inverse, teach, len(u)).astype(np.uint32)
+                    asked.append((u, n, np.searchsorted(range_of(u, bits, parts), np.arange(parts + 1))))
+                out = []
+                for p in range(parts):
+                    mine = [(u[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for u, n, cut in asked]
+                    if len(mine[0][0]) or len(mine[1][0]):
+                        out.append((p, QUESTION, batch, _zipped([len(u) for u, _ in mine], *(x for u, n in mine for x in (_steps(u), n)))))
+                yield _rows(out)
+                for i in range(0, len(t.h), 1 << 18):
+                    some = slice(i, i + (1 << 18))
+                    nodes, bits = nodes_and_bits(t.h[some][teach[some]])
+                    code = nodes * 2 + bits
+                    tables[:NODES] += np.bincount(code.ravel(), minlength=2 * NODES).reshape(-1, 2).astype(np.uint32)
+                    for k in range(1, K - 1):
+                        lo, hi = OFFSETS[k], OFFSETS[k + 1]
+                        at = (t.slots[k - 1][some][teach[some], None] - lo) * 2 + code
+                        tables[lo:hi] += np.bincount(at.ravel(), minlength=2 * (hi - lo)).reshape(-1, 2).astype(np.uint32)
+        chunks = [(c, tables[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-SLOTS // CHUNK))]
+        yield _rows([(c % parts, TABLE, c, _zipped((x.size,), x.ravel())) for c, x in chunks if x.any()])
 
     return run
 
 
-def _sum_chunks(batches):
+def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, each one's sum of n, and each input key's place among them."""
+    u, inverse = np.unique(keys, return_inverse=True)
+    return u, np.bincount(inverse, n, len(u)), inverse
+
+
+def leaves(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of distinct, sorted (context, class) keys with counts: BITS + 1 numbers each, how many sightings of the context leave
+    the path of the key's class at each bit, and how many are of the class itself."""
+    below = np.empty((BITS + 1, len(keys)))
+    for d in range(BITS + 1):
+        first = np.flatnonzero(np.diff(keys >> np.uint64(BITS - d), prepend=~keys[:1] if len(keys) else keys))
+        below[d] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys)))) if len(keys) else 0
+    out = below.T.copy()
+    out[:, :BITS] -= out[:, 1:]
+    return np.minimum(out, 2**32 - 1).astype("<u4")
+
+
+def _answer(parts_rows: list[tuple[int, int, bytes]], part: int) -> list[tuple]:
+    """The sums of one range: each batch's answers, the words of each class, and the tables' chunks."""
+    out, asked, tables = [], [], {}
+    for kind, key, blob in parts_rows:
+        raw = _unzipped(blob)
+        if kind == TABLE:
+            x, _ = _numbers(raw, 4, int(np.frombuffer(raw, "<u4", 1)[0]), "<u4")
+            tables[key] = tables.get(key, 0) + x.astype("<u8")
+            continue
+        sizes, at, mine = np.frombuffer(raw, "<u4", 2), 8, []
+        for m in map(int, sizes):
+            steps, at = _numbers(raw, at, m, "<u8")
+            n, at = _numbers(raw, at, m, "<u4")
+            mine.append((np.cumsum(steps, dtype=np.uint64), n))
+        asked.append((key, mine))
+    for key, x in tables.items():
+        out.append((part, TABLE, key, _zipped((len(x),), x)))
+    if asked:
+        (words, c, wi), (keys, n, ki) = (totals(*(np.concatenate([m[f][j] for _, m in asked]) for j in (0, 1))) for f in (0, 1))
+        gone, known, w, k = leaves(keys, n), c > 0, 0, 0
+        cls = (words[known] & np.uint64(NODES - 1)).astype(np.int64)
+        out.append((part, CLASSES, part, _zipped((NODES,), np.bincount(cls, c[known], NODES).astype("<u8"), np.bincount(cls, minlength=NODES).astype("<u8"))))
+        for key, mine in asked:
+            a, b = (len(x[0]) for x in mine)
+            path = gone[ki[k : k + b]]
+            out.append((part, QUESTION, key, _zipped((a, b), c[wi[w : w + a]].astype("<u4"), *(path[:, d] for d in range(BITS + 1)))))
+            w, k = w + a, k + b
+    return out
+
+
+def _count(batches):
+    """Answers by range; rows come sorted by range."""
+    part, held = None, []
+    for b in batches:
+        for p, kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if p != part and held:
+                yield _rows(_answer(held, part))
+                held = []
+            part = p
+            held.append((kind, key, blob))
+    if held:
+        yield _rows(_answer(held, part))
+
+
+def _sum_classes(batches):
     import pyarrow as pa
 
-    total: dict[int, np.ndarray] = {}
+    total = np.zeros((2, NODES), np.uint64)
     for b in batches:
-        for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, "<u4").astype(np.uint64)
-            total[c] = total[c] + x if c in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
+        for blob in b.column(0).to_pylist():
+            raw = _unzipped(blob)
+            c, at = _numbers(raw, 4, NODES, "<u8")
+            total += np.stack((c, _numbers(raw, at, NODES, "<u8")[0]))
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<u8").tobytes()], pa.binary())], names=["blob"])
 
 
 class Model:
-    """What scoring broadcasts; its size is fixed by SLOTS and HEAD."""
+    """What scoring broadcasts; its size is fixed by SLOTS."""
 
-    def __init__(self, counts: np.ndarray, head_hashes: np.ndarray, head_base: np.ndarray, head_own: np.ndarray, dense: Dense | None = None):
+    def __init__(self, counts: np.ndarray, classes: np.ndarray):
         n = counts.sum(axis=1, dtype=np.float64)
-        self.prior = (counts[:NODES, 1] + 0.4) / (n[:NODES] + 0.8)
-        p = (counts[:, 1] + PRIOR * np.resize(self.prior, len(n))) / (n + PRIOR)
-        p[:NODES] = self.prior
-        self.stretch = np.log(p / (1 - p)).astype(np.float32)
-        order = np.argsort(head_hashes)
-        self.hashes, self.base, self.own = head_hashes[order], head_base[order], head_own[order]
-        self.dense = dense
-
-    def place(self, doc, keys: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A text's hashes, slots, and for each of RARE whether its context is among the answers, and the logits there."""
-        h, ctx, s1 = doc
-        mine = keys_of(h, ctx)
-        if not len(keys):
-            return h, self.dense.slots(ctx, s1), np.zeros(mine.shape, bool), np.zeros((*mine.shape, BITS), np.int8)
-        order = np.argsort(keys)
-        keys, v = keys[order], v[order]
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        return h, self.dense.slots(ctx, s1), keys[at] == mine, v[at].view(np.int8).reshape(*mine.shape, BITS)
-
-
-def _class_bits(model: Model, docs: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """log10 probability of the classes of each document's tokens; documents run side by side, block by block."""
-    total = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
-    sizes = np.array([len(docs[i][0]) for i in order], np.int64)
-    # one array of all tokens, each text padded to whole blocks: a step's tokens are found by index
-    starts = np.concatenate(([0], np.cumsum(-(-sizes // BLOCK) * BLOCK)))
-    tokens, slots = np.zeros(starts[-1], np.uint64), np.zeros((K, starts[-1]), np.int32)
-    given, logits = np.zeros((len(RARE), starts[-1]), bool), np.zeros((len(RARE), starts[-1], BITS), np.int8)
-    for r, i in enumerate(order):
-        here = slice(starts[r], starts[r] + sizes[r])
-        tokens[here], slots[:, here] = docs[i][:2]
-        if len(docs[i]) > 2:
-            given[:, here], logits[:, here] = docs[i][2:]
-    weights = np.full((len(docs), BITS, K), 1.1 / K, np.float32)
-    cells = np.tile((np.arange(MAP_CELLS, dtype=np.float32) - MAP_CELLS / 2 + 0.5) * (16 / MAP_CELLS), (len(docs), BITS, 1))
+        prior = (counts[:NODES, 1] + 0.4) / (n[:NODES] + 0.8)
+        p = (counts[:, 1] + np.resize(prior, len(n))) / (n + 1)
+        p[:NODES] = prior
+        self.p, self.stretch = p.astype(np.float32), np.log(p / (1 - p)).astype(np.float32)
+        self.class_whole = np.log10(classes[0] + 0.5 * (classes[1] + 1.0))
+
+
+def class_bits(model: Model, t: Tokens, place: np.ndarray, gone: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log10 probability of the classes of each text's tokens. place: of each token among the answers (gone by bit, own).
+
+    Texts run side by side, block by block, ``DOCS`` at once, the longest first.
+    """
+    sizes, total = np.diff(t.at), np.zeros(len(t.at) - 1)
+    # sightings below each node of the path, after its bit
+    below = (own[:, None] + np.concatenate((np.cumsum(gone[:, :0:-1], axis=1)[:, ::-1], np.zeros((len(gone), 1))), axis=1)).astype(np.float32)
+    gone = gone.astype(np.float32)
+    for group in np.array_split(np.argsort(-sizes, kind="stable"), max(1, -(-len(sizes) // DOCS))):
+        total[group] = _group_bits(model, t, group, sizes[group], place, gone, below)
+    return total
+
+
+def _group_bits(model: Model, t: Tokens, group: np.ndarray, sizes: np.ndarray, place: np.ndarray, gone: np.ndarray, below: np.ndarray) -> np.ndarray:
+    total, starts, end = np.zeros(len(group)), t.at[group], len(t.h) - 1
+    weights = np.full((len(group), BITS, K), 1.1 / K, np.float32)
+    cells = np.tile((np.arange(MAP_CELLS, dtype=np.float32) - MAP_CELLS / 2 + 0.5) * (16 / MAP_CELLS), (len(group), BITS, 1))
     cells = 1 / (1 + np.exp(-cells))
     gate = np.arange(BITS, dtype=np.int32)[None, None, :]
     for at in range(0, int(sizes[0]) if len(sizes) else 0, BLOCK):
         m = int((sizes > at).sum())
-        live = np.minimum(sizes[:m] - at, BLOCK)
-        where = starts[:m, None] + at + np.arange(BLOCK)
-        h, ctx = tokens[where], slots[:, where]
-        there = (np.arange(BLOCK)[None, :] < live[:, None])
-        nodes, bits = nodes_and_bits(h.ravel())
+        where = np.minimum(starts[:m, None] + at + np.arange(BLOCK), end)
+        there = np.arange(BLOCK)[None, :] < (sizes[:m] - at)[:, None]
+        nodes, bits = nodes_and_bits(t.h[where].ravel())
         nodes, bits = nodes.reshape(m, BLOCK, BITS), bits.reshape(m, BLOCK, BITS).astype(np.float32)
         x = np.empty((K, m, BLOCK, BITS), np.float32)
-        for k in range(K):
-            np.take(model.stretch, ctx[k][:, :, None] + nodes, out=x[k])
-        for r, k in enumerate(RARE):
-            np.copyto(x[k], logits[r][where] * np.float32(1 / 16), where=given[r][where][:, :, None])
+        np.take(model.stretch, nodes, out=x[0])
+        slot = nodes + t.slots[0][where][:, :, None]
+        np.take(model.stretch, slot, out=x[1])
+        for k in (2, 3):
+            np.take(model.stretch, nodes + t.slots[k - 1][where][:, :, None], out=x[k])
+        mine = place[where]
+        off, on = gone[mine], below[mine]
+        # the word before counts as one sighting of both words before
+        p = np.take(model.p, slot)
+        one = np.where(bits > 0, on, off)
+        x[4] = np.log((one + p) / (on + off - one + (1 - p)))
         w = weights[:m]
         s = np.zeros((m, BLOCK, BITS), np.float32)
         for k in range(K):
@@ -289,7 +356,7 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, ...]]) -> np.ndarray:
         c = cells[:m].reshape(-1)
         final = np.clip(0.75 * p + 0.25 * c[flat], 1 / 4096, 1 - 1 / 4096)
         chosen = np.where(bits > 0, final, 1 - final).prod(axis=2)
-        total[order[:m]] += np.where(there, np.log10(chosen), 0).sum(axis=1)
+        total[:m] += np.where(there, np.log10(chosen), 0).sum(axis=1)
         err = (bits - p) * there[:, :, None]
         for k in range(K):
             w[:, :, k] += RATE * (err * x[k]).sum(axis=1)
@@ -301,74 +368,88 @@ def _class_bits(model: Model, docs: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return total
 
 
-def _score(shared):
-    def run(batches):
+def _read(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's answers, by range: word counts, and what leaves and ends each key's path."""
+    counts, gone, own = [], [], []
+    for blob in answers:
+        raw = _unzipped(blob)
+        a, b = map(int, np.frombuffer(raw, "<u4", 2))
+        c, at = _numbers(raw, 8, a, "<u4")
+        counts.append(c)
+        path = np.empty((b, BITS + 1), np.uint32)
+        for d in range(BITS + 1):
+            path[:, d], at = _numbers(raw, at, b, "<u4")
+        gone.append(path[:, :BITS])
+        own.append(path[:, BITS])
+    return np.concatenate(counts), np.concatenate(gone), np.concatenate(own)
+
+
+_SCORED = "row long, doc_id long, whole boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
+
+
+def _score(shared, width: int):
+    """Scores of each batch; a batch's texts (part -1) come before its answers, which come by range."""
+
+    def score(texts: bytes, answers: list[bytes]):
         import pyarrow as pa
 
-        model = shared.value
+        model, docs = shared.value, _unpacked(texts)
+        t = Tokens(docs["text"], docs["skip"], docs["last"], width)
+        counts, gone, own = _read(answers)
+        c = counts[np.unique(t.h, return_inverse=True)[1]]
+        bits = class_bits(model, t, np.unique(t.keys, return_inverse=True)[1], gone, own)
+        log = np.log10(c + 0.5)
+        by_text = lambda x: np.add.reduceat(np.append(x, 0), t.at[:-1]) * (np.diff(t.at) > 0)
+        within = by_text(log - model.class_whole[(t.h & np.uint64(NODES - 1)).astype(np.int64)])
+        whole = [a and s == 0 for a, s in zip(docs["last"], docs["skip"], strict=True)]
+        cols = (docs["row"], docs["doc_id"], whole, docs["bytes"], np.diff(t.at), by_text((c > 0).astype(np.int64)), by_text(log), within + bits)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "whole", "n_bytes", "n_tokens", "n_known", "base", "score"])
+
+    def run(batches):
+        texts, answers = None, []
         for b in batches:
-            for part in range(0, b.num_rows, DOCS):
-                rows, ids, texts = (b.column(k).slice(part, DOCS).to_pylist() for k in (0, 1, 2))
-                got = b.column(3).slice(part, DOCS)
-                at, keys, v = got.offsets.to_numpy(), *(got.values.field(k).to_numpy() for k in (0, 1))
-                docs, out = [model.place(d, keys[at[j] : at[j + 1]], v[at[j] : at[j + 1]]) for j, d in enumerate(token_arrays(texts))], []
-                bits = _class_bits(model, docs)
-                for j, (h, *_) in enumerate(docs):
-                    u, n = np.unique(h, return_counts=True)
-                    at = np.minimum(np.searchsorted(model.hashes, u), max(len(model.hashes) - 1, 0))
-                    known = model.hashes[at] == u if len(model.hashes) else np.zeros(len(u), bool)
-                    k, at = n[known], at[known]
-                    out.append((rows[j], ids[j], len((texts[j] or "").encode("utf-8", "surrogatepass")), len(h), int(k.sum()), float((k * model.base[at]).sum()), float((k * model.own[at]).sum()) + float(bits[j]), u[~known].view(np.int64), n[~known]))
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "n_tokens", "n_known", "base", "own", "rare", "times"])
+            for part, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if part >= 0:
+                    answers.append(blob)
+                    continue
+                if texts is not None:
+                    yield score(texts, answers)
+                texts, answers = blob, []
+        if texts is not None:
+            yield score(texts, answers)
 
     return run
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs under a model of training."""
+def score(docs: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs, learned from those where teach is true."""
     spark = docs.sparkSession
-    texts = training.select(F.col(text_col).cast("string").alias("text"))
-    shape = "chunk int, h long, n long, counts binary"
-    words = texts.mapInArrow(_train_words, shape).groupBy("h").agg(F.sum("n").alias("c"))
-    # counts are positive and END is a token: the number of tokens and of words by class, 256 rows
-    words = stored(words.withColumn("class", F.col("h").bitwiseAND(F.lit(NODES - 1)).cast("int")), "words")
-    by_class = {r["class"]: (r["c"], r["v"]) for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
-    size, kinds = (sum(x[k] for x in by_class.values()) for k in (0, 1))
-    class_c, class_v = (np.array([by_class.get(k, (0, 0))[i] for k in range(NODES)], np.float64) for i in (0, 1))
-    whole = np.log10(size + 0.5 * (kinds + 1))
-    class_whole = np.log10(class_c + 0.5 * (class_v + 1))
-    top = words.orderBy(F.desc("c"), "h").limit(head).select("h", "c").toArrow()
-    h, c = (top.column(k).to_numpy() for k in (0, 1))
-    own = np.log10(c + 0.5)
-    dense = Dense(h.view(np.uint64))
-    shared = spark.sparkContext.broadcast(dense)
-    got = stored(texts.mapInArrow(_train_contexts(shared), shape), "trained")
-    chunks = got.where(F.col("chunk") >= 0).select("chunk", "counts").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), teach.alias("teach"))
+    batches = stored(rows.mapInArrow(tidied(_batched), "batch long, bytes long, blob binary"), "batches")
+    size = batches.agg(F.sum("bytes")).first()[0] or 0
+    width, parts = min(56, max(32, size.bit_length() + 7)), -(-size // RANGE) or 1
+    asked = batches.select("batch", "blob").mapInArrow(tidied(_ask(width, parts)), _SHAPE)
+    dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "key")
+    got = stored(dealt.mapInArrow(tidied(_count), _SHAPE), "counted")
+    classes = np.zeros((2, NODES), np.uint64)
+    for r in got.where(F.col("kind") == CLASSES).select("blob").mapInArrow(_sum_classes, "blob binary").toLocalIterator():
+        classes += np.frombuffer(r["blob"], "<u8").reshape(2, NODES)
     counts = np.zeros((-(-SLOTS // CHUNK) * CHUNK, 2), np.uint64)
-    for r in chunks.toLocalIterator():
-        counts[r["chunk"] * CHUNK :][: len(r["counts"]) // 16] = np.frombuffer(r["counts"], "<u8").reshape(-1, 2)
-    model = Model(counts[:SLOTS], h.view(np.uint64), own - whole, own - class_whole[h & (NODES - 1)], dense)
-    # a row's number is stored with it: its keys and their answers refer to it
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
-    asked = rows.select("row", "text").mapInArrow(_ask(shared), "key long, n long, row long")
-    table_ = got.where(F.col("chunk") < 0).select(F.col("h").alias("key"), "n", F.lit(-1).cast("long").alias("row"))
-    context = F.shiftright("key", BITS)
-    dealt = table_.unionByName(asked).repartition(context).sortWithinPartitions(context, "row")
-    answered = dealt.mapInArrow(_answer(model.prior), "row long, key long, v long").groupBy("row").agg(F.collect_list(F.struct("key", "v")).alias("got"))
-    rows = rows.join(answered.hint("merge"), "row", "left").select("row", "doc_id", "text", F.coalesce("got", F.array().cast("array<struct<key:bigint,v:bigint>>")).alias("got"))
-    shape = "row long, doc_id long, n_bytes long, n_tokens long, n_known long, base double, own double, rare array<long>, times array<long>"
-    part = stored(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), shape), "scored")
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    log_class = F.get(F.array(*(F.lit(float(v)) for v in class_whole)), F.col("h").bitwiseAND(F.lit(NODES - 1)).cast("int"))
-    got = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    rare = rare.join(words.select("h", "c").hint("merge"), "h", "left").select("row", F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * (got - float(whole))).alias("base"), (F.col("times") * (got - log_class)).alias("own"))
-    rare = rare.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("own").alias("o"))
-    out = part.drop("rare", "times").join(rare, "row", "left").withColumn("score", F.col("own") + F.coalesce("o", F.lit(0.0)))
+    for r in got.where(F.col("kind") == TABLE).select("key", "blob").toLocalIterator():  # a fixed number of chunks
+        raw = _unzipped(r["blob"])
+        x, _ = _numbers(raw, 4, int(np.frombuffer(raw, "<u4", 1)[0]), "<u8")
+        counts[r["key"] * CHUNK :][: len(x) // 2] = x.reshape(-1, 2)
+    shared = spark.sparkContext.broadcast(Model(counts[:SLOTS], classes))
+    both = batches.select(F.col("batch").alias("key"), F.lit(-1).alias("part"), "blob").unionByName(got.where(F.col("kind") == QUESTION).select("key", "part", "blob"))
+    dealt = both.repartition(max(1, -(-size // (2 * BATCH))), "key").sortWithinPartitions("key", "part")
+    part = stored(dealt.mapInArrow(tidied(_score(shared, width)), _SCORED), "scored")
+    sums = ["n_bytes", "n_tokens", "n_known", "base", "score"]
+    # only texts in several pieces are summed
+    out = part.where("whole").select("doc_id", *sums).unionByName(part.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in sums)).drop("row"))
+    known, kinds = int(classes[0].sum()), int(classes[1].sum())
     return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(size)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
+        "doc_id", "n_tokens", "n_known", F.lit(known).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(known + 0.5 * (kinds + 1)))).alias("base_score"), "score",
         F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
@@ -379,6 +460,5 @@ def training_rows(id_col: str = "doc_id") -> Column:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from those that aren't held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, docs.where(training_rows()))
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), training_rows())
     return out.withColumn("held_out", crc("doc_id") % 5 == 1)

@@ -259,33 +259,102 @@ def test_mixing_base_and_gain(spark, odd):
         assert abs(rows[k]["base_score"] - base) < 1e-6 * abs(base) and rows[k]["n_known"] == sum(c[w] > 0 for w in tok(t)) and rows[k]["train_tokens"] == n
     held = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    out = mixing.score(odd, docs(spark), head=50).collect()
-    assert len(out) == len(ODD) and all(r["score"] < 0 for r in out)
-    assert all(r["n_known"] == 0 for r in mixing.score(odd, docs(spark).limit(0)).collect())
+    both = odd.select("doc_id", "text", F.lit(False).alias("teach")).unionByName(docs(spark).select(F.col("doc_id") + 1000, "text", F.lit(True)).toDF("doc_id", "text", "teach")).withColumn("row", F.lit("x")).withColumn("score", F.lit("y"))
+    out = mixing.score(both, F.col("teach")).where("doc_id is null or doc_id < 1000").collect()
+    assert len(out) == len(ODD) and all(r["score"] < 0 for r in out) and {r["bits_per_byte"] is None for r in out if r["doc_id"] in (1, 2)} == {True}
+    assert len({r["score"] for r in out if r["doc_id"] == 4}) == 1
+    assert all(r["n_known"] == r["train_tokens"] == 0 for r in mixing.score(odd, F.lit(None).cast("boolean")).collect())
+    assert mixing.score(odd.limit(0), F.lit(True)).count() == 0
 
 
-def test_mixing_keeps_every_context_apart(spark):
+def scalar_score(texts, teach, k):
+    """score of texts[k], one token and one bit at a time, from counts in dictionaries."""
     import numpy as np
 
+    tok = {i: mixing.Tokens([t or ""], [0], [True], 40) for i, t in texts.items()}
+    seen, words = collections.Counter(), collections.Counter()
+    contexts = lambda t, i: [0, *(int(x[i]) for x in t.slots), ("both", int(t.keys[i]) >> 8)]
+    path = lambda h: [(1 << d | (h & 255) >> (8 - d), h >> (7 - d) & 1) for d in range(8)]
+    for i, t in tok.items():
+        for j, h in enumerate(map(int, t.h)):
+            if teach(i):
+                words[h] += 1
+                for c in contexts(t, j):
+                    for node, bit in path(h):
+                        seen[c, node, bit] += 1
+    class_c, class_v = collections.Counter(), collections.Counter()
+    for h, n in words.items():
+        class_c[h & 255] += n
+        class_v[h & 255] += 1
+    prior = lambda node: (seen[0, node, 1] + 0.4) / (seen[0, node, 0] + seen[0, node, 1] + 0.8)
+    fixed = lambda c, node: (seen[c, node, 1] + prior(node)) / (seen[c, node, 0] + seen[c, node, 1] + 1)
+    t, total = tok[k], 0.0
+    w = [[1.1 / mixing.K] * mixing.K for _ in range(8)]
+    cells = [[1 / (1 + math.exp(-(i - mixing.MAP_CELLS / 2 + 0.5) * 16 / mixing.MAP_CELLS)) for i in range(mixing.MAP_CELLS)] for _ in range(8)]
+    for at in range(0, len(t.h), mixing.BLOCK):
+        moves, maps = np.zeros((8, mixing.K)), collections.defaultdict(list)
+        for j in range(at, min(at + mixing.BLOCK, len(t.h))):
+            h, cs = int(t.h[j]), contexts(t, j)
+            for d, (node, bit) in enumerate(path(h)):
+                near = fixed(cs[1], node)
+                ps = [prior(node), near, fixed(cs[2], node), fixed(cs[3], node), (seen[cs[4], node, 1] + near) / (seen[cs[4], node, 0] + seen[cs[4], node, 1] + 1)]
+                x = np.array([math.log(p / (1 - p)) for p in ps])
+                s = min(7.9, max(-7.9, float(x @ w[d])))
+                p, cell = 1 / (1 + math.exp(-s)), int((s + 8) * mixing.MAP_CELLS / 16)
+                q = min(1 - 1 / 4096, max(1 / 4096, 0.75 * p + 0.25 * cells[d][cell]))
+                total += math.log10(q if bit else 1 - q)
+                moves[d] += mixing.RATE * (bit - p) * x
+                maps[d, cell].append(bit)
+            total += math.log10((words[h] + 0.5) / (class_c[h & 255] + 0.5 * (class_v[h & 255] + 1)))
+        w = (np.array(w) + moves).tolist()
+        for (d, cell), bits in maps.items():
+            cells[d][cell] += min(mixing.MAP_RATE, 0.5 / len(bits)) * sum(b - cells[d][cell] for b in bits)
+    return total
+
+
+def test_mixing_equals_a_scalar_version(spark):
+    texts = {i: " ".join((t or "").split()[:150]) for i, t in ((r["doc_id"], r["text"]) for r in docs(spark).limit(24).collect())} | {900: None, 901: "one", 902: "a b a b " * 40}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in mixing.score(df, F.col("doc_id") % 3 != 1).collect():
+        want = scalar_score(texts, lambda i: i % 3 != 1, r["doc_id"])
+        assert abs(r["score"] - want) < 2e-5 * abs(want)
+
+
+def test_mixing_keeps_every_context_apart(spark):
     # 5,000 contexts, each followed by one word of its own: far more than any fixed number of buckets tells apart
     texts = [(i, " ".join(f"c{k} f{k * 7919 % 5003}" for k in range(i * 50, i * 50 + 50))) for i in range(100)]
     train = spark.createDataFrame(texts, "doc_id long, text string")
     wrong = train.select((F.col("doc_id") + 1000).alias("doc_id"), F.concat_ws(" ", F.reverse(F.split("text", " "))).alias("text"))
-    got = {r["doc_id"]: r["score"] - r["base_score"] for r in mixing.score(train.unionByName(wrong), train, head=50).collect()}
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in mixing.score(train.unionByName(wrong), F.col("doc_id") < 1000).collect()}
     assert all(got[i] > 100 and got[i] > got[i + 1000] + 100 for i in range(100))
-    # the answer to a key equals counting below each node of its path, also where the counts come in parts
+
+
+def test_mixing_answers_and_pieces():
+    import numpy as np
+
+    # what leaves a key's path equals counting below each of its nodes
     rng = np.random.default_rng(4)
-    counted, n = rng.integers(0, 4, 300) * 256 + rng.integers(0, 256, 300), rng.integers(1, 9, 300)
-    keys, prior = rng.integers(0, 6, 50) * 256 + rng.integers(0, 256, 50), rng.uniform(0.2, 0.8, 256)
-    seen, v = mixing.answers(keys, counted, n, prior)
-    for key, s, logits in zip(keys, seen, v.view(np.int8).reshape(-1, 8)):
-        mine = [(c & 255, m) for c, m in zip(counted, n) if c >> 8 == key >> 8]
-        assert s == bool(mine)
-        for d in range(8):
-            under = [(c, m) for c, m in mine if c >> (8 - d) == (key & 255) >> (8 - d)]
-            ones = sum(m for c, m in under if c >> (7 - d) & 1)
-            p = (ones + mixing.PRIOR * prior[1 << d | (key & 255) >> (8 - d)]) / (sum(m for _, m in under) + mixing.PRIOR)
-            assert abs(logits[d] / 16 - math.log(p / (1 - p))) < 0.04
+    keys, n, inverse = mixing.totals((rng.integers(0, 4, 300) * 256 + rng.integers(0, 256, 300)).astype(np.uint64), rng.integers(0, 9, 300))
+    assert (keys[inverse] < 1024).all() and n.sum() > 0
+    for key, got in zip(map(int, keys), mixing.leaves(keys, n), strict=True):
+        below = [sum(m for k, m in zip(map(int, keys), n) if k >> (8 - d) == key >> (8 - d)) for d in range(9)]
+        assert got.tolist() == [*(below[d] - below[d + 1] for d in range(8)), below[8]]
+    # a text in pieces has the tokens of the whole, with the same contexts
+    text = " ".join(f"w{i % 37} é{i}" for i in range(500))
+    whole = mixing.Tokens([text], [0], [True], 40)
+    parts = list(mixing.pieces(text, 300))
+    assert len(parts) > 10 and sum(p[3] for p in parts) == len(text.encode())
+    some = mixing.Tokens(*([p[k] for p in parts] for k in range(3)), 40)
+    assert (some.h == whole.h).all() and (some.keys == whole.keys).all() and (some.slots[:2] == whole.slots[:2]).all()
+
+
+def test_mixing_sums_the_pieces_of_a_long_text(spark):
+    import numpy as np
+
+    text = " ".join(f"w{i % 371} v{i % 37}" for i in range(60_000)) + " " + "x" * 3000
+    out = mixing.score(spark.createDataFrame([(1, text * 10), (2, text), (3, None)], "doc_id long, text string"), F.lit(True)).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == 3 and got[1]["n_tokens"] == len((text * 10).split()) + 1 == got[1]["n_known"] and np.isfinite(got[1]["score"]) and got[3]["n_tokens"] == 1
 
 
 def test_mixing_class_probabilities_sum_to_one():
@@ -293,9 +362,10 @@ def test_mixing_class_probabilities_sum_to_one():
 
     counts = np.zeros((mixing.SLOTS, 2))
     counts[: mixing.NODES, 1] = 3
-    m = mixing.Model(counts, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    ctx = np.tile(mixing.OFFSETS[:-1, None], (1, 1)).astype(np.int64)
-    p = mixing._class_bits(m, [(np.array([k], np.uint64), ctx) for k in range(mixing.NODES)])
+    m = mixing.Model(counts, np.zeros((2, mixing.NODES)))
+    t = mixing.Tokens([""] * mixing.NODES, [0] * mixing.NODES, [True] * mixing.NODES, 40)
+    t.h = np.arange(mixing.NODES, dtype=np.uint64)
+    p = mixing.class_bits(m, t, np.zeros(mixing.NODES, np.int64), np.zeros((1, 8), np.uint32), np.zeros(1, np.uint32))
     assert abs((10**p).sum() - 1) < 1e-3
 
 
