@@ -9,7 +9,8 @@ Of records with equal payloads of at least ``min_revisit`` bytes, that with the
 others are revisits; smaller payloads are always responses.
 
 Edge cases: a null payload is empty; null ids count as larger than all others; rows that share the smallest id and the
-payload are all responses; a null url gives an empty target; an empty table gives an empty archive.
+payload are all responses; a null url gives an empty target; line ends in a url are percent-encoded; an empty table gives
+an empty archive. A record whose header or payload is damaged is read with an error and a null digest: it stops no other.
 Other columns of the input are not read.
 """
 
@@ -24,10 +25,6 @@ MIN_REVISIT = 100
 CRLF = "\r\n"
 
 
-class DigestMismatch(Exception):
-    """A payload read from an archive doesn't have the digest that it is stored under."""
-
-
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archive of pages under path.
 
@@ -48,7 +45,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF + "WARC-Type: "), kind, F.lit(CRLF + "WARC-Record-ID: "), name(F.col("id")),
-        F.lit(CRLF + "WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A"), F.lit(CRLF + f"WARC-Date: {date}"),
+        F.lit(CRLF + "WARC-Target-URI: "), F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(CRLF + f"WARC-Date: {date}"),
         F.lit(CRLF + "WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), name(F.col("first_id")))).otherwise(""),
         F.lit(CRLF + "Content-Length: "), F.col("bytes").cast("string"),
@@ -65,23 +62,24 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """(record_id, target_uri, record_type, refers_to, payload, payload_digest) of WARC record bytes, each verified.
+    """(record_id, target_uri, record_type, refers_to, payload, payload_digest, error) of WARC record bytes, each verified.
 
-    The payload is cut out by the length that the header states and must have the digest that the header states;
-    otherwise the query fails.
+    The payload is cut out by the length that the header states and must have the digest that the header states. error
+    says what is wrong, null for a good record; a record with an error has no digest.
     """
     # a header block is ASCII but for the target; Latin-1 keeps one character per byte
     text = records.select("record", F.decode("record", "ISO-8859-1").alias("t")).select("record", F.locate(CRLF * 2, "t").alias("cut"), F.col("t"))
     head = text.select("record", "cut", F.decode(F.expr("substring(record, 1, cut - 1)"), "UTF-8").alias("head"))
-    field = lambda k: F.regexp_extract("head", rf"(?m)^{k}: (.*?)\r?$", 1)
+    field = lambda k: F.regexp_extract("head", rf"(?md)^{k}: (.*?)\r?$", 1)
     out = head.select(
         field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("rid"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Refers-To").alias("ref"),
-        F.expr("substring(record, cut + 4, cast(regexp_extract(head, '(?m)^Content-Length: ([0-9]+)', 1) as int))").alias("payload"), field("WARC-Payload-Digest").alias("stated"),
+        F.expr("substring(record, cut + 4, try_cast(regexp_extract(head, '(?md)^Content-Length: ([0-9]+)', 1) as int))").alias("payload"), field("WARC-Payload-Digest").alias("stated"),
     )
     out = out.withColumn("payload_digest", F.sha2("payload", 256))
     number = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long")
-    checked = F.when(F.col("stated") == F.concat(F.lit("sha256:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest mismatch in record "), F.col("rid"))).cast("string"))
-    return out.select(number(F.col("rid")).alias("record_id"), "target_uri", "record_type", number(F.col("ref")).alias("refers_to"), "payload", checked.alias("payload_digest"))
+    good = F.coalesce(F.col("stated") == F.concat(F.lit("sha256:"), F.col("payload_digest")), F.lit(False))
+    error = F.when(F.col("payload").isNull(), "no payload length").when(~good, "payload digest mismatch")
+    return out.select(number(F.col("rid")).alias("record_id"), "target_uri", "record_type", number(F.col("ref")).alias("refers_to"), "payload", F.when(good, F.col("payload_digest")).alias("payload_digest"), error.alias("error"))
 
 
 def export_warc(records: DataFrame, path: str) -> None:
