@@ -7,16 +7,21 @@ largest wins, the first by name on a tie.
 
 The model is fitted on a bounded sample of labelled rows: ``max_train_chars`` characters at most, shared evenly by the
 languages and chosen by a hash of the text, so no model grows with the corpus and its broadcast has a known bound.
+Copies of a text count once there, and a text that no longer fits is passed over. A language with none but texts over its
+share of the bound learns from the head of one of them.
 Prediction reads every whole text. Language, source and id are never inputs of a prediction.
 
 Edge cases: ``und`` with score 0 for a null text, a text without letters, and where the model knows no language;
+numerals and marks are no letters; a text of which the model knows no character gets the first language by name, at 1 / languages;
 repeated rows get equal predictions; nulls in the label leave a row out of training; an empty table gives no rows.
 Columns of the input called lang_pred or score are replaced; others stay.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,11 +33,18 @@ from .common import crc, replace_columns, table, tidied
 MAX_N = 5
 MAX_TRAIN_CHARS = 2_000_000
 UND = "und"
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+
+@functools.lru_cache(maxsize=1)
+def _words() -> re.Pattern:
+    r"""Runs of letters: \w without digits, the underscore and the numerals that aren't letters."""
+    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+    letter = rf"[^\W\d_{numerals}]"
+    return re.compile(rf"{letter}+(?:['’]{letter}+)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    return _words().findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -114,23 +126,33 @@ class Predictor(dict):
 def sample_counts(docs: DataFrame, text_col: str, lang_col: str, max_train_chars: int) -> dict[str, Counter]:
     """Word counts by language over a sample of at most max_train_chars characters.
 
-    The share of each language's rows follows from its total of characters; rows are taken by a hash of their text, then
-    in the order of that hash as long as the language's part of the bound holds. What is collected is bounded by the sample.
+    The share of each language's rows follows from its total of characters; distinct texts are taken by their hash, then
+    in the order of that hash as far as they fit the language's part of the bound. What is collected is bounded by the sample.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not total:
         return {}
     part = max_train_chars // len(total)
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in total.items() for x in (k, min(1.0, 0.9 * part / max(n, 1))))), F.col("lang"))
     unit = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    from pyspark.sql import Window as W
-
-    upto = F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("unit", "text").rowsBetween(W.unboundedPreceding, 0))
-    taken = rows.withColumn("unit", unit).where(F.col("unit") < share).withColumn("upto", upto).where(F.col("upto") <= part)
+    taken = rows.withColumn("unit", unit).where((F.col("unit") < share) & (F.length("text") <= part)).dropDuplicates(["lang", "text"])
     counts: dict[str, Counter] = {k: Counter() for k in total}
-    for r in taken.select("lang", "text").toLocalIterator():
-        counts[r["lang"]].update(words_of(r["text"]))
+    room = dict.fromkeys(total, part)
+
+    def learn(lang: str, text: str) -> None:
+        if len(text) <= room[lang]:
+            room[lang] -= len(text)
+            counts[lang].update(words_of(text))
+
+    for r in taken.orderBy("lang", "unit", "text").select("lang", "text").toLocalIterator():
+        learn(*r)
+    missing = [k for k, c in counts.items() if not c]
+    if missing:
+        # a share that no short text fell into: one text for each, its head if it must be
+        first = F.min_by(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, part), F.struct(F.length("text") > part, "unit", "text"))
+        for r in rows.where(F.col("lang").isin(missing)).withColumn("unit", unit).groupBy("lang").agg(first.alias("text")).toLocalIterator():
+            learn(*r)
     return counts
 
 
@@ -162,8 +184,14 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without those whose language can't be told (und); columns as before."""
-    return identify(docs, model, text_col).where(F.col("lang_pred") != UND).select(*docs.columns)
+    """docs without those whose language can't be told: und, or no more likely than by chance, where the model knows
+    no character of the text; columns as before."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # clashing columns step aside while the predictions are there
+    aside = {c: f"{c}__kept" for c in docs.columns if c in ("lang_pred", "score")}
+    chance = (1 + 1e-9) / max(1, len(model.langs)) if len(model.langs) > 1 else 0.0
+    told = identify(docs.withColumnsRenamed(aside), model, text_col).where((F.col("lang_pred") != UND) & (F.col("score") > chance))
+    return told.select(*own, *(F.col(v).alias(k) for k, v in aside.items())).select(*docs.columns)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
