@@ -43,16 +43,17 @@ def _encoders(name: str, ranks_name: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(name))
-    exact.encode_special_tokens = True
+    special = tuple(t.content for t in exact.get_added_tokens_decoder().values())
     with open(public_tokenizers.path(ranks_name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return exact, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return exact, special, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, name: str = "byte_bpe_50k.json", ranks_name: str = "byte_bpe_50k.tiktoken") -> list[int]:
-    """The ids that the tokenizer file gives. Plain texts take a faster path with the same vocabulary and ids."""
-    exact, fast = _encoders(name, ranks_name)
-    if _PLAIN.fullmatch(text):
+    """The ids that the tokenizer file gives, its special tokens' names in a text included. Plain texts take a faster path with
+    the same vocabulary and ids."""
+    exact, special, fast = _encoders(name, ranks_name)
+    if _PLAIN.fullmatch(text) and not any(s in text for s in special):
         return fast.encode_ordinary(text)
     return exact.encode(text, add_special_tokens=False).ids
 
@@ -161,6 +162,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     # hashing neighbouring tasks together bounds each merge by merge_group tasks' leftovers, whatever the table's size
     groups = -(-tasks // merge_group)
     left = left.repartition(groups, F.floor(F.col("part") / merge_group)) if groups > 1 else left.coalesce(1)
+    # in one order whatever comes first, so that a merge that runs again gives the same sequences
+    left = left.sortWithinPartitions("part", "doc_id", "start", "doc_tokens", "ids")
     return one.where(F.col("ids").isNull()).drop("ids", "part").unionByName(left.drop("part").mapInArrow(tidied(merge), PIECE + ", ids binary").drop("ids"))
 
 
