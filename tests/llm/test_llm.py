@@ -52,10 +52,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == 7 and text.endswith(b"\r\n\r\n")
 
 
-def test_warc_detects_changed_payload(spark):
-    r = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:1>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
-    with pytest.raises(Exception, match="digest mismatch"):
-        warc.parse_records(spark.createDataFrame([(r,)], "record binary")).collect()
+def test_warc_sets_damaged_records_aside(spark):
+    r = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:%d>\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %s\r\n\r\nx\r\n\r\n"
+    good = b"2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    rows = [(r % (1, b"00", b"1"),), (r % (2, good, b"1"),), (r % (3, good, b"99999999999999"),), (b"no record",)]
+    got = {(x["record_id"], x["payload_digest"], x["error"]) for x in warc.parse_records(spark.createDataFrame(rows, "record binary")).collect()}
+    assert got == {(1, None, "payload digest mismatch"), (2, good.decode(), None), (3, None, "no payload length"), (None, None, "no payload length")}
+
+
+def test_warc_takes_any_url(spark):
+    urls = ["http://a/\x85WARC-Payload-Digest: sha256:00", "\u2028Content-Length: 1", "\u2029WARC-Type: revisit", "x\r\n\r\nContent-Length: 1", "\x00\x0b\x0c", "é☃"]
+    pages = spark.createDataFrame([(i, u, f"body {i}", "extra") for i, u in enumerate(urls)], "page_id long, url string, html string, record_type string")
+    path = shared_path(spark, "warc-urls")
+    warc.write_archive(pages, path)
+    got = {r["record_id"]: r for r in warc.parse_records(warc.read_archive(spark, path)).collect()}
+    for i, u in enumerate(urls):
+        assert got[i]["error"] is None and bytes(got[i]["payload"]).decode() == f"body {i}" and got[i]["record_type"] == "response"
+        assert got[i]["target_uri"] == u.replace("\r", "%0D").replace("\n", "%0A")
+    warc.write_archive(pages.limit(0), path + "-none")
+    assert warc.parse_records(warc.read_archive(spark, path + "-none")).count() == 0
 
 
 def test_language_accuracy_and_edges(spark, odd):
@@ -68,6 +83,21 @@ def test_language_accuracy_and_edges(spark, odd):
     assert langid.identify(odd, langid.fit(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_loses_no_label(spark):
+    rows = [("xx", "zulu kwela " * 90)] + [("de", f"der hund und die katze {i}") for i in range(4)] + [("fr", "le chat noir")] * 50 + [("nn", "123"), ("no", None), (None, "w")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), max_train_chars=900)
+    assert model.langs == ["de", "fr", "xx"]
+    texts = ["zulu kwela", "der hund", "² ½ Ⅷ 12", "", None, "漢字", "b h", "ϡϠ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("kept"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()}
+    assert [got[i][0] for i in range(5)] == ["xx", "de", "und", "und", "und"]
+    # nothing of it is known: a tie, which goes to the first by name
+    assert got[5][0] == got[7][0] == "de" and abs(got[5][1] - 1 / 3) < 1e-12
+    kept = langid.keep_identified(df, model)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 6} and kept.columns == df.columns and {r["score"] for r in kept.collect()} == {"kept"}
+    assert langid.identify(df.limit(0), model).count() == 0
+
+
 def test_quality_edges_and_cascade(spark, odd):
     q = quality.add_features(odd)
     by = {r["doc_id"]: r for r in q.collect()}
@@ -76,6 +106,21 @@ def test_quality_edges_and_cascade(spark, odd):
     verdicts = [sorted((str(r["doc_id"]), r["rejected_by"] is None) for r in quality.quality_cascade(q, o).collect()) for o in orders]
     assert verdicts[0] == verdicts[1]
     assert sorted(e.name for e in quality.plan_cascade(odd)) == sorted(orders[0])
+    clash = odd.withColumn("_text", F.lit(1)).withColumn("_words_of_text", F.lit(2)).withColumn("_x", F.lit(3))
+    out = quality.add_features(clash)
+    assert set(clash.columns) <= set(out.columns) and {(r["_text"], r["_words_of_text"], r["_x"]) for r in out.collect()} == {(1, 2, 3)}
+    gated = quality.quality_cascade(out, orders[0], unless=quality.base_failed())
+    assert gated.where(quality.base_failed() & F.col("rejected_by").isNotNull()).count() == 0
+    assert quality.quality_cascade(quality.add_features(odd.limit(0)), orders[0]).count() == 0 == len({e.rejected for e in quality.plan_cascade(odd.limit(0))} - {0})
+
+
+def test_quality_measures_what_a_rule_costs(spark):
+    slow = quality.Rule("slow", lambda t: F.length(F.regexp_replace(t, r"(?:[a-z]+[^a-z]?){1,6}$", "")) < 0)
+    fast = quality.Rule("fast", lambda t: F.col("n_words") < 0)
+    df = spark.createDataFrame([(" ".join(f"word{i} other" for i in range(200)),)] * 100, "text string")
+    for rules in ((slow, fast), (fast, slow)):
+        got = quality.plan_cascade(df, rules)
+        assert [e.name for e in got] == ["fast", "slow"] and got[1].seconds > 5 * got[0].seconds
 
 
 def test_packing_gives_back_every_id(spark, odd):
@@ -83,7 +128,6 @@ def test_packing_gives_back_every_id(spark, odd):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     d = docs(spark).select("doc_id", "text").unionByName(odd.where("doc_id in (1, 2, 3, 5, 6)").select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text"))
     texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
     pieces = packing.pack(d.repartition(5)).collect()
@@ -109,6 +153,8 @@ def test_packing_gives_back_every_id(spark, odd):
         assert at <= 1024
     assert sum(1024 - sum(n for _, n in s) for s in seqs.values()) < 1024
     assert packing.pack(d.limit(0)).count() == 0
+    # the odd texts name a special token
+    assert packing.encode("a<|endoftext|>b") == tok.encode("a<|endoftext|>b", add_special_tokens=False).ids and len(packing.encode("a<|endoftext|>b")) == 3
 
 
 def test_chat_round_trip(spark):
