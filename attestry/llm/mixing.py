@@ -43,7 +43,7 @@ CHUNK = 1 << 16
 BLOCK = 32
 #: Texts that are read side by side.
 DOCS = 256
-BATCH, RANGE = 4_000_000, 20_000_000
+BATCH, RANGE = 2_500_000, 10_000_000
 RATE, MAP_RATE, MAP_CELLS = 0.002, 0.02, 24
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -230,13 +230,16 @@ def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def leaves(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Of distinct, sorted (context, class) keys with counts: BITS + 1 numbers each, how many sightings of the context leave
     the path of the key's class at each bit, and how many are of the class itself."""
-    below = np.empty((BITS + 1, len(keys)))
-    for d in range(BITS + 1):
-        first = np.flatnonzero(np.diff(keys >> np.uint64(BITS - d), prepend=~keys[:1] if len(keys) else keys))
-        below[d] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys)))) if len(keys) else 0
-    out = below.T.copy()
-    out[:, :BITS] -= out[:, 1:]
-    return np.minimum(out, 2**32 - 1).astype("<u4")
+    out, before = np.zeros((len(keys), BITS + 1), "<u4"), None
+    for d in range(BITS + 1 if len(keys) else 0):
+        first = np.flatnonzero(np.diff(keys >> np.uint64(BITS - d), prepend=~keys[:1]))
+        below = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
+        if d:
+            out[:, d - 1] = np.minimum(before - below, 2**32 - 1)
+        before = below
+    if len(keys):
+        out[:, BITS] = np.minimum(before, 2**32 - 1)
+    return out
 
 
 def _answer(parts_rows: list[tuple[int, int, bytes]], part: int) -> list[tuple]:
