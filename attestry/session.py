@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benchmarks. On a cluster the session comes from outside."""
     b = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
-    base = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    base = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"}
     spark = b.config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
