@@ -11,17 +11,17 @@ from attestry.session import shared_path, stored  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Tables of at most this many rows (of a few dozen bytes) are broadcast; their rows are counted first.
-BROADCAST_ROWS = 500_000
+#: Tables of at most this many bytes are broadcast; their rows are counted, and what varies in length is measured, first.
+BROADCAST_BYTES = 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough; otherwise Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int, more_bytes: int = 0, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows, at 96 bytes each and what is given on top, are few enough; otherwise Spark shuffles."""
+    return F.broadcast(df) if 96 * rows + more_bytes <= limit else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

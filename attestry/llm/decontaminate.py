@@ -12,7 +12,8 @@ with the same tokens. Windows with fewer than half of their tokens literal are l
 
 Items shorter than a window, and items that only have left-out windows (arithmetic, lists of names), are found verbatim:
 their plain tokens, words and numbers in lower case, must stand in the text one after the other. Items of fewer
-than ``LEAST_INSIDE`` plain tokens must be the whole text.
+than ``least_inside`` plain tokens must be the whole text: at the default of ``LEAST_INSIDE`` an item of one or two words
+doesn't contaminate every text that holds these. At 1 all are found anywhere.
 
 Edge cases: null or empty texts match nothing; items with the same windows and slot values (copies) are reported under the smallest item_id;
 null ids are kept as such; repeated documents are each counted under their id; empty tables give no rows.
@@ -69,7 +70,7 @@ def is_slot(token: Column) -> Column:
     return canonical(token).startswith("<")
 
 
-def exact_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def exact_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, least_inside: int = LEAST_INSIDE) -> DataFrame:
     """(h, k, item_id, item_at, n_blocks, whole): blocks of up to window plain tokens, which cover each item that windows can't find inside a text."""
     b = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("t"))
     b = _once(_once(b, "_raw", raw_tokens(F.col("t"))), "_p", plain_tokens(F.col("t"))).where(F.size("_p") > 0)
@@ -81,7 +82,7 @@ def exact_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     k = F.least(n, F.lit(window))
     # blocks from the first token on, and the last one up to the end
     at = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1, F.lit(window)), lambda i: F.least(i, n - k)))
-    b = _once(b, "_at", at).select("item_id", "_p", k.alias("k"), F.size("_at").cast("long").alias("n_blocks"), F.when(n < LEAST_INSIDE, n).alias("whole"), F.explode("_at").alias("item_at"))
+    b = _once(b, "_at", at).select("item_id", "_p", k.alias("k"), F.size("_at").cast("long").alias("n_blocks"), F.when(n < least_inside, n).alias("whole"), F.explode("_at").alias("item_at"))
     return b.select(F.xxhash64(F.slice("_p", F.col("item_at") + 1, F.col("k"))).alias("h"), "k", "item_id", "item_at", "n_blocks", "whole")
 
 
@@ -115,14 +116,15 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return b.join(first, ["same", "item_id"]).select("h", "item_id", "item_at", "n_windows", "slots").dropDuplicates(["h", "item_id", "item_at"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, least_inside: int = LEAST_INSIDE) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, share, kind): one row per contaminated document and item.
 
     kind is 'verbatim' where all slot values are equal, else 'reparameterised'. The documents' windows stream past a
     broadcast table of benchmark windows if those are few enough, and are shuffled by hash otherwise.
     """
     bench = stored(benchmark_windows(benchmark, window=window), "bench")
-    n_bench, n_slots = bench.select(F.count("*"), F.count_if(F.size("slots") > 0)).first()
+    size = F.aggregate("slots", F.lit(0), lambda n, s: n + F.octet_length(s["value"]) + 32)
+    n_bench, n_slots, slot_bytes = bench.select(F.count("*"), F.count_if(F.size("slots") > 0), F.coalesce(F.sum(size), F.lit(0))).first()
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     tokens = lambda df: _once(df, "_raw", raw_tokens(F.col("t"))).select("doc_id", "_raw")
     rows = _windows(tokens(plain), window).select("doc_id", F.posexplode("_h").alias("at", "h"))
@@ -131,12 +133,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bad = None
     values = None
     if n_slots:
-        with_slots = hits.join(maybe_broadcast(bench.where(F.size("slots") > 0).select("item_id", "item_at", "slots"), n_slots), ["item_id", "item_at"])
-        ids = with_slots.select("doc_id").distinct()
-        ids = stored(ids, "slot-docs")
+        with_slots = hits.join(maybe_broadcast(bench.where(F.size("slots") > 0).select("item_id", "item_at", "slots"), n_slots, slot_bytes), ["item_id", "item_at"])
+        # each place that a slot asks for, once an item and alignment; a document's tokens are shuffled one by one, not copied to its hits
+        places = F.transform("slots", lambda s: F.struct((F.col("at") + s["at"]).alias("place"), s["value"].alias("item")))
+        asked = stored(with_slots.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(places).alias("v")).select("doc_id", "item_id", "shift", "v.place", "v.item").distinct(), "slots")
+        ids = stored(asked.select("doc_id").distinct(), "slot-docs")
         texts = tokens(plain.join(maybe_broadcast(ids, ids.count()), "doc_id"))
-        pairs = with_slots.join(texts, "doc_id").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.transform("slots", lambda s: F.struct(s["value"].alias("item"), F.lower(F.get("_raw", F.col("at") + s["at"])).alias("doc")))).alias("v"))
-        values = pairs.select("doc_id", "item_id", "shift", "v.item", "v.doc").distinct().groupBy("doc_id", "item_id", "shift").agg(
+        held = texts.select("doc_id", F.posexplode("_raw").alias("place", "t")).where(is_slot(F.col("t"))).select("doc_id", "place", F.lower("t").alias("doc")).distinct()
+        values = asked.join(held, ["doc_id", "place"]).select("doc_id", "item_id", "shift", "item", "doc").distinct().groupBy("doc_id", "item_id", "shift").agg(
             F.count("*").alias("n"), F.count_distinct("item").alias("ni"), F.count_distinct("doc").alias("nd"), F.bool_and(F.col("item") == F.col("doc")).alias("equal")
         )
         bad = values.select("doc_id", "item_id", "shift", "equal", ((F.col("n") == F.col("ni")) & (F.col("n") == F.col("nd"))).alias("consistent"))
@@ -148,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     per = hits.groupBy("doc_id", "item_id", "n_windows", "item_at").agg(F.bool_or(F.coalesce("equal", F.lit(True))).alias("equal"))
     out = per.groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("n_matched"), F.bool_and("equal").alias("equal")).where(F.col("n_matched") >= min_share * F.col("n_windows"))
     out = out.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("share"), F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
-    items = stored(exact_items(benchmark, window=window), "exact")
+    items = stored(exact_items(benchmark, window=window, least_inside=least_inside), "exact")
     lengths = {r["k"]: r["n"] for r in items.groupBy("k").agg(F.count("*").alias("n")).collect()}
     if not lengths:
         return out
