@@ -3,18 +3,20 @@
 The pages of a host are merged into one tree of presentation: a node is a path of tags with their classes. For each
 node the tree holds on how many pages it stands, how its children are laid out there (presentation), and which texts
 its blocks have (content). Importance is the entropy of those over the pages: a node laid out alike everywhere with
-the same text everywhere has none; one whose text differs from page to page has much. A block's importance is
-``(1 - GAMMA) * presentation of its parent + GAMMA * content``; blocks below ``THRESHOLD`` are removed.
-
-The tree can't judge a host of few pages, nor a menu whose text differs on each page. So what HTML itself states comes
-first: navigation, page headers and footers, asides, forms, scripts and the like, and elements whose class, id or role says
-so (advert, notice, sidebar, reader comments) are never content. Entropy decides all the rest, inside article and main
-elements too, on nodes seen on at least ``MIN_PAGES`` pages. Inside those elements pages that hold the same text there count
+the same text everywhere has none; one whose text differs from page to page has much. A block's importance is its prior
+times ``(1 - GAMMA) * presentation of its parent + GAMMA * content``; blocks below ``THRESHOLD`` are removed. On nodes seen on fewer than
+``MIN_PAGES`` pages entropy says nothing and counts as 1.
+
+The prior is 1, but 0 for what HTML itself says is no article: navigation, page headers and footers, asides, forms, scripts and the like,
+and elements whose role, or class or id names an advert, notice, sidebar, reader comments and so on. Entropy can't judge those on a host of
+few pages, nor a menu or advert that differs on each page. With a prior of 0 nothing that entropy
+could say would keep a block, so such blocks aren't looked up. Inside article and main elements only a class or id that is such a name as a
+whole counts ("ad", "comments", not "market-share"). Also inside those elements, pages that hold the same text there count
 as one: copies of an article don't make it a part of the site's layout.
 
 Only hashes of paths and texts are counted by (host, path, text), so a hot host is spread over its texts; no host's
 pages ever meet in one task. Pages from which a block goes are joined with their list of removed blocks by a key of
-the page's content.
+the host and the page's content.
 
 Edge cases: null or empty html gives an empty text; null urls share the host ''; pages without any tag are one block;
 unclosed, misnested and cut-off tags are closed as at the end of the page; repeated rows are extracted alike; an
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import replace_columns, stored, table
+from .common import fresh, replace_columns, stored, table
 
 GAMMA = 0.9
 THRESHOLD = 0.25
@@ -44,7 +46,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold main text.
-DROP = frozenset("nav footer aside form script style noscript template iframe head title button select option textarea svg canvas object embed menu dialog audio video map".split())
+DROP = frozenset("nav footer aside form script style noscript template iframe head title button select option textarea svg menu dialog".split())
 MAIN = frozenset(("article", "main"))
 _DROP_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side-?bar|nav\w*|menu\w*|breadcrumbs?|footer\w*|masthead|site-?header|page-?header|cookies?\w*|consent|gdpr|"
@@ -52,10 +54,18 @@ _DROP_WORDS = re.compile(
     r"pagination|pager|toolbar|widget\w*|skip-?link|copyright|legal|alert\w*|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: A whole class or id that names no article inside one.
+_DROP_NAMES = re.compile(
+    r"ads?|ad[_-]?(?:box|slot|unit|banner|container|wrapper)|advert(?:isement|s|ising)?|adsense|sponsor(?:ed|s)?|promo(?:tion|box)?|banner|side-?bar|nav(?:bar|igation)?|menu|breadcrumbs?|(?:site|page)?-?footer|"
+    r"(?:site|page)-header|masthead|cookies?|cookie[_-]\w+|consent|gdpr|(?:site|page|cookie|privacy)?-?notice|notification|popup|modal|newsletter|subscribe|subscription|shar(?:e|ing)(?:[_-](?:bar|buttons?|links?|tools|this))?|"
+    r"social(?:[_-](?:bar|buttons?|links?|media|share))?|(?:related|recommended)(?:[_-](?:posts?|articles?|links?|content|stories))?|comments?|comments?[_-](?:list|section|area|form|thread|body|box)|reader-comments|disqus\w*|respond|replies|"
+    r"login|signin|search(?:[_-]?(?:box|form|bar))?|pagination|pager|toolbar|skip-?link|copyright|disclaimer",
+    re.I,
+)
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_SPACE = re.compile(r"[\s​﻿]+")
+_SPACE = re.compile(r"\s+")
 #: End tags that HTML lets authors leave out: a start tag closes an open element of these.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -69,10 +79,12 @@ def host_of(url: str | None) -> str:
 
 
 def _dropped(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    if tag in DROP or tag == "header" and not in_main or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _DROP_ROLES:
+    if tag in DROP or tag == "header" and not in_main or attrs.get("role", "").lower() in _DROP_ROLES:
         return True
     if tag in ("html", "body", "main"):
         return False
+    if in_main:
+        return any(_DROP_NAMES.fullmatch(name) for k in ("class", "id") for name in attrs.get(k, "").split())
     return any(_DROP_WORDS.search(attrs[k]) for k in ("class", "id") if k in attrs)
 
 
@@ -155,8 +167,8 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def page_key(page: str | None) -> int:
-    return _hash(page or "")
+def page_key(host: str, page: str | None) -> int:
+    return _hash(f"{host}\n{page or ''}")
 
 
 def _features(html_col: str, url_col: str):
@@ -171,9 +183,10 @@ def _features(html_col: str, url_col: str):
                     layout: dict[str, list[str]] = {}
                     for _, p, _s, _t in open_:
                         layout.setdefault(p.rpartition("/")[0], []).append(p.rpartition("/")[2])
-                    key = page_key(page)
+                    host = host_of(url)
+                    key = page_key(host, page)
                     voice = {1: key, 2: _hash("\n".join(t for _, _p, s, t in open_ if s == 2))}
-                    rows += [(key, voice[s], host_of(url), i, _hash(p), _hash(p.rpartition("/")[0]), _hash(" ".join(dict.fromkeys(layout[p.rpartition("/")[0]]))), _hash(t)) for i, p, s, t in open_]
+                    rows += [(key, voice[s], host, i, _hash(p), _hash(p.rpartition("/")[0]), _hash(" ".join(dict.fromkeys(layout[p.rpartition("/")[0]]))), _hash(t)) for i, p, s, t in open_]
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(cols)], names=["page", "voice", "host", "at", "path", "parent", "layout", "content"])
 
@@ -206,13 +219,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", thre
     """pages without html, with text (blocks joined by \\n) and n_chars (code points)."""
     low = stored(low_blocks(pages, url_col, html_col, threshold, min_pages), "low-blocks")
     keep = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
+    drop_, key_ = fresh(pages, "_drop"), fresh(pages, "_key")
     schema = StructType([*keep, StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            html, drops = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (html_col, "_drop"))
+            html, drops = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (html_col, drop_))
             texts = []
             for page, drop in zip(html, drops, strict=True):
                 drop = set(drop or ())
@@ -220,22 +234,22 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", thre
             out = replace_columns(b, ("text", "n_chars"), [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())])
             yield out.select([f.name for f in schema.fields])
 
-    rows = pages.drop("_drop")
     if low.limit(1).count():
         # the key is computed from the page itself, as in the first pass; pages without such blocks meet no match
-        keyed = rows.mapInArrow(_with_key(html_col), StructType([*rows.schema.fields, StructField("_key", LongType())]))
-        rows = keyed.join(low.select(F.col("page").alias("_key"), F.col("drop").alias("_drop")), "_key", "left").drop("_key")
+        keyed = pages.mapInArrow(_with_key(html_col, url_col, key_), StructType([*pages.schema.fields, StructField(key_, LongType())]))
+        rows = keyed.join(low.select(F.col("page").alias(key_), F.col("drop").alias(drop_)), key_, "left").drop(key_)
     else:
-        rows = rows.withColumn("_drop", F.lit(None).cast("array<bigint>"))
+        rows = pages.withColumn(drop_, F.lit(None).cast("array<bigint>"))
     return rows.mapInArrow(run, schema)
 
 
-def _with_key(html_col: str):
+def _with_key(html_col: str, url_col: str, key: str):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield replace_columns(b, ("_key",), [pa.array([page_key(p) for p in b.column(b.schema.get_field_index(html_col)).to_pylist()], pa.int64())])
+            page, url = (b.column(b.schema.get_field_index(c)).cast(pa.string()).to_pylist() for c in (html_col, url_col))
+            yield replace_columns(b, (key,), [pa.array([page_key(host_of(u), p) for p, u in zip(page, url, strict=True)], pa.int64())])
 
     return run
 
