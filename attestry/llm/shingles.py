@@ -71,9 +71,14 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def shingle_sets(texts: list[str | None], step: int = 256):
-    """The shingle set of each text, hashing some texts at once."""
-    for i in range(0, len(texts), step):
-        h, _, at = hash_words(texts[i : i + step])
+def shingle_sets(texts: list[str | None], most: int = 1 << 20):
+    """The shingle set of each text, hashing texts of about ``most`` characters at once: memory follows these, or the longest text."""
+    i = 0
+    while i < len(texts):
+        n, end = 0, i
+        while end < len(texts) and (end == i or n + len(texts[end] or "") <= most):
+            n, end = n + len(texts[end] or ""), end + 1
+        h, _, at = hash_words(texts[i:end])
         for k in range(len(at) - 1):
             yield shingles(h[at[k] : at[k + 1]])
+        i = end
