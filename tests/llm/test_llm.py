@@ -194,6 +194,65 @@ def test_html_judges_blocks_inside_articles(spark):
     assert all(got[200 + i].endswith("The same on three pages") for i in range(3))
 
 
+def brute_low_blocks(pages):
+    """{(host, page): places} of blocks with little importance, from a style tree in dictionaries."""
+    import numpy as np
+
+    tree, rows = collections.defaultdict(lambda: collections.defaultdict(set)), []
+    for url, page in pages:
+        host, blocks = html.host_of(url), [(i, p, s, t) for i, (p, s, t) in enumerate(html.blocks_of(page)) if s]
+        inside = "\n".join(t for _, _, s, t in blocks if s == 2)
+        for i, p, s, t in blocks:
+            parent, voice = p.rpartition("/")[0], (s, inside if s == 2 else page)
+            look = tuple(dict.fromkeys(q.rpartition("/")[2] for _, q, _, _ in blocks if q.rpartition("/")[0] == parent))
+            tree["page", host, p][None].add(voice)
+            tree["text", host, p][t].add(voice)
+            tree["look", host, parent][look].add(voice)
+            rows.append((host, page, i, p, parent, t))
+    out = collections.defaultdict(set)
+    for host, page, i, p, parent, t in rows:
+        m, same = len(tree["page", host, p][None]), len(tree["text", host, p][t])
+        n = np.array([len(x) for x in tree["look", host, parent].values()], float)
+        look = 1.0 if n.sum() <= 1 else -(n / n.sum() * np.log(n / n.sum())).sum() / np.log(n.sum())
+        if m >= html.MIN_PAGES and same > 1 and (1 - html.GAMMA) * look + html.GAMMA * (1 - np.log(same) / np.log(m)) < html.THRESHOLD:
+            out[host, page].add(i)
+    return out
+
+
+def test_html_equals_a_tree_in_dictionaries(spark):
+    import random
+
+    rng, pages = random.Random(5), []
+    for i in range(150):
+        box = "<div class='x'><p>Follow us</p></div>" if i % 3 else "<p>Own {i}</p><div class='x'><p>Follow us</p></div>"
+        some = "".join(f"<p>{rng.choice(['Shared one', 'Shared two', f'Own {rng.random()}'])}</p>" for _ in range(rng.randrange(4)))
+        page = rng.choice(["<article>{}{}</article>", "<div>{}<section>{}</section></div>", "{}{}", "<main><h1>T</h1>{}</main>{}"]).format(f"<p>Body of {i}</p>{box}", some)
+        pages.append((f"http://h{rng.randrange(3)}/x", page))
+    pages += pages[:20]
+    want = brute_low_blocks(pages)
+    low = html.low_blocks(spark.createDataFrame(pages, "url string, html string"))
+    got = {r["page"]: set(r["drop"]) for r in low.collect()}
+    assert got == {html.page_key(*k): v for k, v in want.items()} and sum(map(len, got.values())) > 100
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumn("_drop", F.lit("a")).withColumn("_key", F.lit("b"))
+    out = html.extract(df).collect()
+    assert len(out) == len(pages) and {(r["_drop"], r["_key"]) for r in out} == {("a", "b")}
+    for r in out:
+        url, page = pages[r["page_id"]]
+        text = "\n".join(t for i, (_, s, t) in enumerate(html.blocks_of(page)) if s and i not in want.get((html.host_of(url), page), ()))
+        assert r["text"] == text and r["n_chars"] == len(text)
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_keeps_what_only_looks_like_a_menu(spark):
+    page = "<article><p class='market-share research legal-analysis'>A</p><p hidden>B</p><p aria-hidden=true>C</p><p>wo\u200brd</p><div class='x ad'>no</div><div id=comments><p>no</div><audio>D</audio></article>"
+    shared = "<p>One text on all</p><p>{}</p>"
+    rows = [(0, "http://a/", page)] + [(i, "http://b/", shared.format(f"text {i}")) for i in range(1, 11)] + [(98, "http://b/", shared.format("copied")), (99, "http://d/", shared.format("copied"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "A\nB\nC\nwo\u200brd\nD"
+    # one page on two hosts: what is layout on one is text on the other
+    assert got[98] == "copied" and got[99] == "One text on all\ncopied" and got[3] == "text 3"
+
+
 def brute_components(texts, percent):
     sets = {}
     for k, t in texts.items():
@@ -415,40 +474,105 @@ def test_mixing_class_probabilities_sum_to_one():
     assert abs((10**p).sum() - 1) < 1e-3
 
 
+KEY = "a key of the tests"
+
+
 def test_pii(spark, odd):
     text = "Ann jo.5@mail1.example.com, JO.5@MAIL1.EXAMPLE.COM +1 (743) 555-3824 at 227.5.221.1; card 4111 1111 1111 1111, Mrs. Anna Schmidt met Herr Müller. Mrs. Schmidt left; г-жа. SSN 123-45-6789 v2.0"
-    out = pii.replace_pii(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    out = pii.replace_pii(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").withColumn("_entities", F.lit("mine")), KEY).collect()
     a = out[0]["text"]
-    assert out[1]["text"] == a and out[0]["n_entities"] == 9
+    assert out[1]["text"] == a and out[0]["n_entities"] == 9 and out[0]["_entities"] == "mine"
     for x in ("jo.5@", "JO.5@", "555-3824", "227.5.221.1", "4111 1111 1111 1111", "Schmidt", "Müller", "123-45-6789"):
         assert x not in a
     assert "v2.0" in a and a.startswith("Ann ") and "+1 (" in a
-    plain = pii.replace_pii(odd)
-    assert {(r["doc_id"], r["text"]) for r in plain.collect()} == {(r[0], r[1]) for r in ODD} and plain.where("n_entities > 0").count() == 0
-    assert pii.replace_pii(odd.limit(0)).count() == 0
+    plain = pii.replace_pii(odd, KEY)
+    assert {(r["doc_id"], r["text"]) for r in plain.collect()} == {(r[0], r[1]) for r in ODD} and plain.where("n_entities <> 0").count() == 0
+    assert pii.replace_pii(odd.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(odd, "")
+    assert pii.key_of(spark) == pii.key_of(spark) != ""
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(df, KEY, plan=pii.Plan()).collect()}
 
 
 def test_pii_finds_keys_of_letters_and_national_phones(spark):
     texts = ["key AKIA" + "ABCDEFGHIJKLMNOP here", "key sk-" + "abcdefghijKLMNOPQRST here", "key ghp_" + "abcdefghijkl" * 3 + " here", "key " + "abcdef" * 6 + " here"]
-    phones = ["call (555) 123-4567 now", "call 555-123-4567 now", "call 1-555-123-4567 now", "call +1 555-123-4567 now"]
-    df = spark.createDataFrame(list(enumerate([*texts, *phones, "no task-like thing, 12-34 and 1.2.3 stay"])), "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(df).collect()}
+    phones = ["call (555) 123-4567 now", "call 555-123-4567 now", "call 1-555-123-4567 now", "call +1 555-123-4567 now", "call +15551234567 now"]
+    stays = "no task-like thing, 12-34, 10:20:30 and 1.2.3 stay, as do John, MODEL AB12 and Anna, of course"
+    got = found(spark, [*texts, *phones, "+49 30 1234567 or +49301234567", stays])
     for k, t in enumerate([*texts, *phones]):
         assert got[k][1] == 1 and got[k][0] != t and len(got[k][0]) == len(t)
     # one number gets one surrogate however it is written
-    digits = ["".join(c for c in got[k][0] if c.isdigit())[-10:] for k in range(4, 8)]
+    digits = ["".join(c for c in got[k][0] if c.isdigit())[-10:] for k in range(4, 9)]
     assert len(set(digits)) == 1
-    assert got[8] == ("no task-like thing, 12-34 and 1.2.3 stay", 0)
+    one, two = ("".join(c for c in x if c.isdigit()) for x in got[9][0].split(" or "))
+    assert one == two and one.startswith("49") and one != "49301234567"
+    assert got[10] == (stays, 0)
+
+
+def test_pii_finds_accounts_and_addresses(spark):
+    def valid(iban):
+        x = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    got = found(spark, ["to DE89 3704 0044 0532 0130 00 now", "to DE89370400440532013000 now", "to GB82WEST12345698765432 now", "to DE88 3704 0044 0532 0130 00 now", "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334, FE80::1:2", "at std::vector or a::b"])
+    for k, spaced in ((0, True), (1, False), (2, False), (3, True)):
+        x = got[k][0][3:-4]
+        assert got[k][1] == 1 and valid(x) == (k != 3) and (" " in x) == spaced and x[:2] == ("GB" if k == 2 else "DE")
+    assert got[0][0].replace(" ", "") == got[1][0].replace(" ", "") and "WEST" in got[2][0] and "0532" not in got[0][0]
+    assert got[4][1] == 2 and got[4][0].count("2001:db8:") == 2 and got[5][1] == 0
+
+
+def test_pii_finds_names(spark):
+    texts = ["Anna Schmidt and Mrs. Schmidt", "ask Dr. Thomas McDonald", "my name is Xuan Li, hello", "Иван Петрович Сидоров пришёл", "г-жа Сидорова ушла", "Сидорова Ольга Петровна и Ольга Петровна", "доктор Сидоров", "le Jean-Luc Dupont", "In Paris, Maria sings"]
+    got = found(spark, texts)
+    for k, left in enumerate((("Schmidt",), ("McDonald", "Thomas"), ("Xuan", "Li,"), ("Сидоров", "Иван "), ("Сидорова",), ("Сидорова",), ("Сидоров",))):
+        assert got[k][1] == texts[k].count(" and ") + texts[k].count(" и ") + 1 and not any(x in got[k][0] for x in left), got[k]
+    assert got[8] == (texts[8], 0)
+    # the family name agrees, gender and script stay
+    a, b = got[0][0].split(" and ")
+    assert a.split()[-1] == b.split()[-1] and a.split()[0] in pii.GIVEN["f", "latin"] and b.startswith("Mrs. ")
+    assert got[1][0].split()[2] in pii.GIVEN["m", "latin"] and got[3][0].split()[0] in pii.GIVEN["m", "cyrillic"] and got[3][0].split()[1] in pii.FATHERS["m"]
+    assert got[6][0].split()[1] == got[3][0].split()[2] and all("а" <= c.lower() <= "я" for c in got[6][0].split()[1])
+
+
+def test_pii_quick_pattern_changes_nothing(spark):
+    d = docs(spark).select("text").unionAll(spark.createDataFrame([("sk-" + "abcdefghij" * 3,), ("Anna Schmidt",), ("me llamo Xi",), ("д-р Ли",), ("a@b.cd",)], "text string"))
+    whole = F.size(F.regexp_extract_all("text", F.lit(pii.ENTITY), F.lit(0)))
+    assert d.where(F.coalesce(whole, F.lit(0)) != F.greatest(F.size(pii._found(F.col("text"))), F.lit(0))).count() == 0
+    assert d.where(whole > 0).count() > 10
+    # every entity of the table is gone, and what stands around it stays
+    out = pii.replace_pii(docs(spark), KEY).withColumnRenamed("text", "new").join(docs(spark).select("doc_id", "text"), "doc_id")
+    around = lambda c: F.split(c, pii.ENTITY, -1)
+    assert out.where(F.to_json(around("text")) != F.to_json(around("new"))).count() == 0
+    assert out.where((F.size(F.array_intersect(F.regexp_extract_all("text", F.lit(pii.ENTITY), F.lit(0)), F.regexp_extract_all("new", F.lit(pii.ENTITY), F.lit(0)))) > 0)).count() == 0
 
 
 def test_surrogates_are_distinct(spark):
     n = 2000
     ids = spark.range(n)
-    for f in (F.format_string("+1 (%03d) 555-%04d", F.col("id") % 7, F.col("id")), F.format_string("10.0.%d.%d", (F.col("id") / 250).cast("int"), F.col("id") % 250), F.format_string("4%015d", F.col("id")), F.format_string("a%d@b.org", F.col("id")), F.sha2(F.col("id").cast("string"), 256)):
-        x = ids.select(f.alias("x")).select("x", pii.surrogate(F.col("x")).alias("s"))
+    kinds = (F.format_string("+1 (%03d) 555-%04d", F.col("id") % 7, F.col("id")), F.format_string("10.0.%d.%d", (F.col("id") / 250).cast("int"), F.col("id") % 250), F.format_string("4%015d", F.col("id")), F.format_string("a%d@b.org", F.col("id")), F.sha2(F.col("id").cast("string"), 256), F.format_string("DE00%018d", F.col("id")), F.format_string("%03d-12-%04d", F.col("id") % 900, F.col("id")))
+    for f in kinds:
+        x = ids.select(f.alias("x")).select("x", pii.surrogate(F.col("x"), KEY).alias("s"))
         assert x.select(F.count_distinct("s"), F.count_if(F.col("s") == F.col("x")), F.count_if(pii.kind_of(F.col("s")) != pii.kind_of(F.col("x")))).first()[:] == (n, 0, 0)
 
 
+def test_surrogates_avoid_real_entities(spark):
+    one = spark.createDataFrame([("555-123-4567 is here",), ("a@b.org too",)], "text string")
+    made = {r[0] for r in pii.replace_pii(one, KEY, plan=pii.Plan()).select("text").collect()}
+    taken = one.unionAll(spark.createDataFrame([(x,) for x in made], "text string"))
+    # one key gives one surrogate in every plan
+    again = taken.select(F.explode(pii._found(F.col("text"))).alias("x")).select(pii.surrogate(F.col("x"), KEY))
+    assert {x.split(" ")[0] for x in made} <= {r[0] for r in again.collect()}
+    plan = pii.find_plan(taken, KEY)
+    assert plan.round > 0 and plan.width > pii.WIDTH
+    e = spark.createDataFrame([("phone", "5551234567", "555-123-4567"), ("email", "a@b.org", "a@b.org")], "kind string, value string, x string")
+    assert pii.conflicts(e, KEY, pii.Plan()) == {"hashed": 0, "numbers": 0, "same": 0}
+
+
 def test_shingles_and_registers():
     import numpy as np
 
