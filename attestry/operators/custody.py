@@ -8,12 +8,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from attestry.functions import ed25519
+from attestry.functions import canonical, ed25519
 from attestry.operators import logs
 
 SIGNATURE, ACTOR, HANDOFF = "SIGNATURE_INVALID", "UNKNOWN_ACTOR", "HANDOFF_MISMATCH"
+HOP_REPLAY, HOP_GAP = "HOP_REPLAY", "HOP_GAP"
 # Fixed values of the output contract: the earliest of these names a record with several failures.
 PRIORITY = (logs.MALFORMED, logs.REPLAY, logs.NONCE, logs.GAP, SIGNATURE, logs.TIME, logs.CHAIN)
+HOP_PRIORITY = (logs.MALFORMED, ACTOR, HOP_REPLAY, HOP_GAP, SIGNATURE, HANDOFF, logs.TIME, logs.CHAIN)
+#: What a hop must have.
+HOP_FIELDS = ("seq", "actor_id", "input_digest", "output_digest", "prev_hash", "record_hash", "ts", "signature")
 
 
 def signed(records: DataFrame, message: str, seed: str, to: str = "signature") -> DataFrame:
@@ -36,9 +40,68 @@ def signature_failures(records: DataFrame, keyring: DataFrame, message: str = "r
     return known.withColumn("_good", good("_key", message, "signature")).select("chain", "idx", "seq", code.alias("code")).where("code is not null")
 
 
-def headlines(failures: DataFrame) -> DataFrame:
+def verify_receipts(log: DataFrame, keyring: DataFrame, message: str = "record_hash", actor: str = "actor_id", content_hash: Column | None = None) -> DataFrame:
+    """(chain, idx, seq, code) with all seven codes of a signed log: those of its order, and SIGNATURE_INVALID for a well-formed
+    record whose signature isn't its signer's, also where no key is known."""
+    ok = logs.well_formed()
+    signed_ = signature_failures(log.where(ok), keyring, message, actor).withColumn("code", F.lit(SIGNATURE))
+    return logs.verify_log(log, content_hash).unionByName(signed_)
+
+
+def verify_custody(hops: DataFrame, keyring: DataFrame, message: str = "record_hash", actor: str = "actor_id", content_hash: Column | None = None) -> DataFrame:
+    """(chain, idx, seq, code) with all eight codes of a custody chain. hops: chain, idx (the line), seq (the hop's number),
+    actor, input_digest, output_digest, prev_hash, record_hash, ts, signature.
+
+    A malformed hop (a null in any of ``HOP_FIELDS``) is reported and otherwise passed over: the next good hop follows the last good one.
+    """
+    ok = F.lit(True)
+    for c in HOP_FIELDS:
+        ok = ok & F.col(c if c != "actor_id" else actor).isNotNull()
+    bad = hops.where(~ok).select("chain", "idx", "seq", F.lit(logs.MALFORMED).alias("code"))
+    good = hops.where(ok)
+    # nonces aren't part of a hop: each line gets one of its own
+    order = logs.verify_log(good.withColumn("nonce", F.col("idx").cast("string")), content_hash)
+    named = F.when(F.col("code") == logs.REPLAY, HOP_REPLAY).when(F.col("code") == logs.GAP, HOP_GAP).otherwise(F.col("code"))
+    hand = logs.verify_handoffs(good.withColumn("hop", F.col("idx"))).withColumnRenamed("hop", "idx").join(good.select("chain", "idx", "seq"), ["chain", "idx"])
+    return bad.unionByName(order.withColumn("code", named)).unionByName(signature_failures(good, keyring, message, actor)).unionByName(hand.select("chain", "idx", "seq", F.lit(HANDOFF).alias("code")))
+
+
+def content_digest(samples: DataFrame, key: str = "sample_id", digest: str = "sha256", label: str | None = None) -> DataFrame:
+    """(digest, n): one digest of a data set's (id, content digest, label) rows, whatever their order.
+
+    Rows are hashed by id range first, and the ranges' digests, in order, once more: no task sees more than a range.
+    """
+    from attestry.operators.ordered import RANGES
+
+    rows = samples.select(F.col(key).cast("string").alias("k"), F.to_json(F.array(F.col(key).cast("string"), F.col(digest).cast("string"), (F.col(label) if label else F.lit(None)).cast("string"))).alias("r"))
+    # the first byte of an id's hash names its range: the same for any table that holds the id
+    part = F.conv(F.substr(F.sha2("k", 256), F.lit(1), F.lit(2)), 16, 10).cast("int") % RANGES
+    parts = rows.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: F.concat(x["part"].cast("string"), F.lit(":"), x["d"])), "\n"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def add_hop(hops: DataFrame, chain: str, actor: str, seed: bytes, output_digest: str, ts: str, stage: str = "", description: str = "") -> DataFrame:
+    """hops (chain, idx, seq, stage, actor_id, input_digest, output_digest, description, ts, prev_hash, record_hash, signature) of
+    one chain with another at its end, which takes up what the last one put out. Only the chain's last hop is read."""
+    last = hops.where(F.col("chain") == chain).agg(F.max_by(F.struct("idx", "seq", "record_hash", "output_digest"), "idx").alias("l")).first()["l"]
+    new = {
+        "chain": chain, "idx": last["idx"] + 1 if last else 0, "seq": last["seq"] + 1 if last else 0, "stage": stage, "actor_id": actor,
+        "input_digest": last["output_digest"] if last else logs.GENESIS, "output_digest": output_digest, "description": description, "ts": ts,
+        "prev_hash": last["record_hash"] if last else logs.GENESIS,
+    }
+    new["record_hash"] = canonical.digest(new)
+    new["signature"] = bytearray(ed25519.sign(seed, new["record_hash"].encode()))
+    one = hops.sparkSession.createDataFrame([tuple(new[c] for c in HOP_COLUMNS)], HOPS)
+    return hops.select(*HOP_COLUMNS).unionByName(one)
+
+
+HOPS = "chain string, idx long, seq long, stage string, actor_id string, input_digest string, output_digest string, description string, ts string, prev_hash string, record_hash string, signature binary"
+HOP_COLUMNS = [c.split()[0] for c in HOPS.split(", ")]
+
+
+def headlines(failures: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
     """(chain, seq, idx, code, codes): failures of one record number together under the gravest code; without a number, by line."""
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("code"))
+    rank = F.array_position(F.array(*map(F.lit, priority)), F.col("code"))
     key = F.when(F.col("seq").isNull(), F.col("idx"))
     g = failures.groupBy("chain", "seq", key.alias("_line")).agg(F.min("idx").alias("idx"), F.min_by("code", rank).alias("code"), F.array_sort(F.collect_set("code")).alias("codes"))
     return g.drop("_line")

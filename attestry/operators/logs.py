@@ -7,7 +7,7 @@ passed over: the next good row links to the last good one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,28 +16,55 @@ MALFORMED, CHAIN, REPLAY, GAP, NONCE, TIME = "MALFORMED", "CHAIN_BROKEN", "SEQUE
 FIELDS = ("seq", "prev_hash", "record_hash", "nonce", "ts")
 
 
-def verify_log(log: DataFrame) -> DataFrame:
-    """(chain, idx, seq, code): one row per failure; a line may have several."""
+def well_formed() -> Column:
     ok = F.lit(True)
     for c in FIELDS:
         ok = ok & F.col(c).isNotNull()
-    bad = log.where(~ok).select("chain", "idx", "seq", F.lit(MALFORMED).alias("code"))
+    return ok
+
+
+DETAIL = ("earlier", "missing_from", "missing_to")
+
+
+def verify_log_detail(log: DataFrame, content_hash: Column | None = None) -> DataFrame:
+    """(chain, idx, seq, code, earlier, missing_from, missing_to): one row per failure; a line may have several.
+
+    earlier is the latest line before that used the number, or the first that used the nonce; missing_from and missing_to are the first and
+    last number that a gap leaves out. content_hash is a record's digest computed from its content: links must then name that digest, so a
+    record edited under an unchanged record_hash breaks the next link. Without it the stored hashes are compared.
+    """
+    ok = well_formed()
+    none = [F.lit(None).cast("long").alias(c) for c in DETAIL]
+    log = log.withColumn("_own", F.coalesce(content_hash, "record_hash") if content_hash is not None else F.col("record_hash"))
+    bad = log.where(~ok).select("chain", "idx", "seq", F.lit(MALFORMED).alias("code"), *none)
     w = W.partitionBy("chain").orderBy("idx")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     g = log.where(ok).select(
-        "*", F.lag("record_hash", 1, GENESIS).over(w).alias("expected"), F.max("seq").over(before).alias("top"), F.max("ts").over(before).alias("latest"),
+        "*", F.lag("_own", 1, GENESIS).over(w).alias("expected"), F.max("seq").over(before).alias("top"), F.max("ts").over(before).alias("latest"),
         F.lag("idx").over(W.partitionBy("chain", "seq").orderBy("idx")).alias("used"), F.min("idx").over(W.partitionBy("chain", "nonce")).alias("nonce_at"),
     )
     order = F.when(F.col("used").isNotNull() | (F.col("seq") < F.col("top")), REPLAY).when(F.col("seq") > F.col("top") + 1, GAP)
     codes = F.array_compact(F.array(F.when(F.col("prev_hash") != F.col("expected"), CHAIN), order, F.when(F.col("nonce_at") < F.col("idx"), NONCE), F.when(F.col("ts") < F.col("latest"), TIME)))
-    return bad.unionByName(g.select("chain", "idx", "seq", F.explode(codes).alias("code")))
+    f = g.select("chain", "idx", "seq", "used", "nonce_at", "top", F.explode(codes).alias("code"))
+    earlier = F.when(F.col("code") == REPLAY, F.col("used")).when(F.col("code") == NONCE, F.col("nonce_at"))
+    gap = lambda c: F.when(F.col("code") == GAP, c).cast("long")
+    return bad.unionByName(f.select("chain", "idx", "seq", "code", earlier.cast("long").alias("earlier"), gap(F.col("top") + 1).alias("missing_from"), gap(F.col("seq") - 1).alias("missing_to")))
+
+
+def verify_log(log: DataFrame, content_hash: Column | None = None) -> DataFrame:
+    """(chain, idx, seq, code): one row per failure; a line may have several."""
+    return verify_log_detail(log, content_hash).drop(*DETAIL)
 
 
 def summary(log: DataFrame) -> DataFrame:
     """(chain, total, n_failures, first_bad, n_verified): verified are the lines before the first failure."""
     f = verify_log(log).groupBy("chain").agg(F.count("*").alias("n_failures"), F.min("idx").alias("first_bad"))
-    t = log.groupBy("chain").agg(F.count("*").alias("total"), F.min("idx").alias("start"))
-    return t.join(f, "chain", "left").select("chain", "total", F.coalesce("n_failures", F.lit(0)).alias("n_failures"), "first_bad", F.coalesce(F.col("first_bad") - F.col("start"), "total").alias("n_verified"))
+    # lines are counted, not numbers subtracted: line numbers needn't be dense
+    t = log.select("chain", "idx").join(f, "chain", "left").groupBy("chain").agg(
+        F.count("*").alias("total"), F.coalesce(F.first("n_failures"), F.lit(0)).alias("n_failures"), F.first("first_bad").alias("first_bad"),
+        F.count_if(F.col("first_bad").isNull() | (F.col("idx") < F.col("first_bad"))).alias("n_verified"),
+    )
+    return t
 
 
 def verify_handoffs(chain: DataFrame) -> DataFrame:

@@ -279,11 +279,18 @@ def log_verify(spark: SparkSession, d: str) -> DataFrame:
     return logs.verify_log(_log(spark, d))
 
 
-@query(_LOG + ", g AS (SELECT chain, count(*) AS n_failures, min(idx) AS first_bad FROM f GROUP BY chain), t AS (SELECT chain, count(*) AS total, min(idx) AS start FROM l GROUP BY chain) SELECT t.chain, total, coalesce(n_failures, 0) AS n_failures, first_bad, coalesce(first_bad - start, total) AS n_verified FROM t LEFT JOIN g ON t.chain = g.chain")
+@query(_LOG + """, n AS (SELECT chain, idx, row_number() OVER (PARTITION BY chain ORDER BY idx) - 1 AS before FROM l), t AS (SELECT chain, count(*) AS total FROM l GROUP BY chain),
+g AS (SELECT chain, count(*) AS n_failures, min(idx) AS first_bad FROM f GROUP BY chain)
+SELECT t.chain, total, coalesce(n_failures, 0) AS n_failures, first_bad, coalesce(n.before, total) AS n_verified FROM t LEFT JOIN g ON t.chain = g.chain LEFT JOIN n ON n.chain = g.chain AND n.idx = g.first_bad""")
 def log_verify_summary(spark: SparkSession, d: str) -> DataFrame:
     return logs.summary(_log(spark, d))
 
 
+@query(_LOG + """, e AS (SELECT f.*, CASE code WHEN 'SEQUENCE_REPLAY' THEN used WHEN 'NONCE_REUSE' THEN nonce_at END AS earlier, CASE WHEN code = 'SEQUENCE_GAP' THEN top + 1 END AS missing_from, CASE WHEN code = 'SEQUENCE_GAP' THEN f.seq - 1 END AS missing_to FROM f JOIN w ON w.chain = f.chain AND w.idx = f.idx) SELECT * FROM e""")
+def log_verify_detail(spark: SparkSession, d: str) -> DataFrame:
+    return logs.verify_log_detail(_log(spark, d))
+
+
 @query("""
 WITH c AS (SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || text) AS o FROM conversations),
 h AS (SELECT conv_id AS chain, turn AS hop, CASE WHEN (conv_id + turn) % 13 = 6 THEN repeat('e', 64) ELSE lag(o, 1, repeat('0', 64)) OVER w END AS i, lag(o, 1, repeat('0', 64)) OVER w AS x FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -531,6 +538,35 @@ def _keyring(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r, bytearray(public_key(hashlib.sha256(f"key|{r}".encode()).digest()))) for r in roles if r], "actor_id string, key binary")
 
 
+_CUSTODY = """
+WITH c AS (SELECT conv_id AS chain, turn AS idx, role, row_number() OVER w AS line, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+h AS (SELECT *, CASE WHEN (chain + idx) % 19 = 4 THEN line + 2 WHEN (chain + idx) % 23 = 5 THEN line - 1 ELSE line END AS seq, (chain + idx) % 31 = 7 AS torn, (chain + idx) % 17 = 3 AS edited, (chain + idx) % 13 = 6 AS swapped, (chain + idx) % 29 = 8 AS late FROM c),
+g AS (SELECT *, lag(line, 1, 0) OVER o AS before, lag(edited, 1, false) OVER o AS was_edited, lag(swapped, 1, false) OVER o AS was_swapped, max(seq) OVER b AS top, max(CASE WHEN late THEN 0 ELSE line END) OVER b AS latest,
+  lag(idx) OVER (PARTITION BY chain, seq ORDER BY idx) AS used FROM h WHERE NOT torn WINDOW o AS (PARTITION BY chain ORDER BY idx), b AS (PARTITION BY chain ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT chain, idx, NULL::BIGINT AS seq, 'MALFORMED' AS code FROM h WHERE torn
+UNION ALL SELECT chain, idx, seq, 'UNKNOWN_ACTOR' FROM g WHERE role = 'assistant'
+UNION ALL SELECT chain, idx, seq, 'SIGNATURE_INVALID' FROM g WHERE role <> 'assistant' AND edited
+UNION ALL SELECT chain, idx, seq, 'CHAIN_BROKEN' FROM g WHERE before <> line - 1 OR was_edited
+UNION ALL SELECT chain, idx, seq, 'HANDOFF_MISMATCH' FROM g WHERE before <> line - 1 OR was_swapped
+UNION ALL SELECT chain, idx, seq, CASE WHEN used IS NOT NULL OR seq < top THEN 'HOP_REPLAY' ELSE 'HOP_GAP' END FROM g WHERE used IS NOT NULL OR seq < top OR seq > top + 1
+UNION ALL SELECT chain, idx, seq, 'TIMESTAMP_REGRESSION' FROM g WHERE late AND latest > 0
+"""
+
+
+@query(_CUSTODY)
+def custody_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as custody chains: a hop takes up the digest that the last one put out; faults of all eight kinds are planted."""
+    from pyspark.sql import Window as W
+
+    at = lambda m, r: (F.col("chain") + F.col("idx")) % m == r
+    h, w = _hops(spark, d), W.partitionBy("chain").orderBy("idx")
+    out = F.sha2(F.concat_ws("|", "chain", "idx", "text"), 256)
+    h = h.withColumn("line", F.col("seq")).withColumn("out", out)
+    h = h.withColumn("input_digest", F.lag("out", 1, logs.GENESIS).over(w)).withColumn("output_digest", F.when(at(13, 6), F.sha2(F.lit("swapped"), 256)).otherwise(F.col("out")))
+    h = h.withColumn("seq", F.when(at(31, 7), None).when(at(19, 4), F.col("line") + 2).when(at(23, 5), F.col("line") - 1).otherwise(F.col("line")).cast("long"))
+    return custody.verify_custody(h.withColumn("ts", F.lpad(F.when(at(29, 8), 0).otherwise(F.col("line")).cast("string"), 9, "0")), _keyring(spark, d).where("actor_id <> 'assistant'"))
+
+
 @query(_LOG + ", p(code, rank) AS (VALUES ('MALFORMED', 1), ('SEQUENCE_REPLAY', 2), ('NONCE_REUSE', 3), ('SEQUENCE_GAP', 4), ('TIMESTAMP_REGRESSION', 6), ('CHAIN_BROKEN', 7)) SELECT chain, seq, min(idx) AS idx, min_by(f.code, rank) AS code, array_to_string(list_sort(list(DISTINCT f.code)), ',') AS codes FROM f JOIN p ON f.code = p.code GROUP BY chain, seq")
 def log_headlines(spark: SparkSession, d: str) -> DataFrame:
     return custody.headlines(logs.verify_log(_log(spark, d))).withColumn("codes", F.array_join("codes", ","))
