@@ -17,7 +17,7 @@ def robust_z(df: DataFrame, value: str, by: str) -> DataFrame:
     med = df.groupBy(by).agg(F.percentile(value, 0.5).alias("_med"), F.stddev_pop(value).alias("_sd"))
     d = df.join(med, by)
     mad = d.groupBy(by).agg((F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5) * MAD_SCALE).alias("_mad"))
-    scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    scale = F.when(F.col("_mad") > 1e-12, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     return d.join(mad, by).withColumn("z", (F.col(value) - F.col("_med")) / scale).drop("_med", "_sd", "_mad")
 
 
@@ -66,6 +66,41 @@ def nearest(queries: DataFrame, samples: DataFrame, id_col: str, vector: str, k:
     return pairs.withColumn("rank", r).where(F.col("rank") <= k)
 
 
+def nearest_blocks(samples: DataFrame, id_col: str, vector: str, k: int, rows: int = 4096) -> DataFrame:
+    """(id, other, similarity, rank): each sample's k nearest others by cosine, exactly, in matrix products of blocks.
+
+    Every two blocks of about ``rows`` samples meet in one task, which passes on at most k for each sample; no side is broadcast. All pairs
+    are compared, as the result asks for; what is shuffled is the table once for each block.
+    """
+    import numpy as np
+
+    n = samples.count()
+    blocks = max(1, -(-n // rows))
+    s = samples.select(F.col(id_col).alias("id"), normalized(as_doubles(F.col(vector))).alias("u")).withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = s.select(F.col("mine").alias("x"), each.alias("y"), F.lit(0).alias("side"), "id", "u")
+    gives = s.select(each.alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), "id", "u")
+    kind = s.schema["id"].dataType.simpleString()
+
+    def top(g):
+        import pandas as pd
+
+        q, o = g[g["side"] == 0], g[g["side"] == 1].sort_values("id")
+        if q.empty or o.empty:
+            return pd.DataFrame({"id": [], "other": [], "similarity": []})
+        ids, others = q["id"].to_numpy(), o["id"].to_numpy()
+        sims = np.round(np.stack(q["u"].to_numpy()) @ np.stack(o["u"].to_numpy()).T, 9)
+        sims[ids[:, None] == others[None, :]] = -np.inf
+        # stable, so that of equal similarities the smaller id comes first
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "other": others[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()})
+        return out[np.isfinite(out["similarity"])]
+
+    some = asks.unionByName(gives).groupBy("x", "y").applyInPandas(top, f"id {kind}, other {kind}, similarity double")
+    r = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    return some.withColumn("rank", r).where(F.col("rank") <= k)
+
+
 def mean_distance(queries: DataFrame, samples: DataFrame, id_col: str, label: str, vector: str, k: int = 5) -> DataFrame:
     """(id, distance): each query's mean distance to the k nearest samples of its own class.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.grading import p_rate_above, risk_disposition
+from attestry.operators.ordered import ranged, running
+from attestry.session import stored
 
 
 def group_risk(samples: DataFrame, flagged: DataFrame, group: str, sample: str = "sample_id") -> DataFrame:
@@ -18,17 +20,23 @@ def group_risk(samples: DataFrame, flagged: DataFrame, group: str, sample: str =
 
 
 def leave_one_out(risk: DataFrame, group: str) -> DataFrame:
-    """Each group's rate beside the largest and the median of all other groups' rates.
+    """Each group's rate beside the largest and the median of all other groups' rates, 0 where there are none.
 
-    Both follow from the ranked rates, so groups never meet in pairs.
+    Leaving one of the ranked rates out moves the median by one rank at most: of all rates only the largest two and the three about
+    the middle are needed, and each group needs no more than its own rank. Groups never meet in pairs, nor in one row.
     """
-    r = risk.select(group, "rate")
-    ranked = r.agg(F.sort_array(F.collect_list("rate")).alias("rates"))
-    own = r.crossJoin(F.broadcast(ranked)).withColumn("at", F.array_position("rates", F.col("rate")))
-    rest = F.concat(F.slice("rates", F.lit(1), (F.col("at") - 1).cast("int")), F.slice("rates", (F.col("at") + 1).cast("int"), F.size("rates")))
-    own = own.select(group, "rate", rest.alias("rest")).withColumn("k", F.size("rest"))
-    mid = (F.get("rest", F.floor((F.col("k") - 1) / 2).cast("int")) + F.get("rest", F.floor(F.col("k") / 2).cast("int"))) / 2
-    return own.select(group, "rate", F.when(F.col("k") > 0, F.get("rest", F.col("k") - 1)).otherwise(0.0).alias("others_max"), F.when(F.col("k") > 0, mid).otherwise(0.0).alias("others_median"))
+    one = risk.select(group, "rate").withColumn("_one", F.lit(1).cast("long")).withColumn("_key", F.xxhash64(F.col(group)))
+    ranked = stored(running(ranged(one, "rate", "_key"), {"_r": "_one"}, ["rate", "_key"]).select(group, "rate", "_r"), "ranks")
+    n = ranked.count()
+    # ranks of the others' median, without the group at rank r: those above it move down by one
+    low, high = (n - 2) // 2 + 1, (n - 1) // 2 + 1
+    wanted = sorted({r for r in (low, low + 1, high, high + 1, n - 1, n) if 1 <= r <= n})
+    at = {r["_r"]: r["rate"] for r in ranked.where(F.col("_r").isin(wanted)).collect()}  # six rows at most
+    rate = lambda rank: F.lit(float(at.get(rank, 0.0)))
+    without = lambda rank: F.when(F.col("_r") <= rank, rate(rank + 1)).otherwise(rate(rank))
+    if n < 2:
+        return ranked.select(group, "rate", F.lit(0.0).alias("others_max"), F.lit(0.0).alias("others_median"))
+    return ranked.select(group, "rate", F.when(F.col("_r") == n, rate(n - 1)).otherwise(rate(n)).alias("others_max"), ((without(low) + without(high)) / 2).alias("others_median"))
 
 
 def worst_disposition(findings: DataFrame, key: str, disposition: str = "disposition") -> DataFrame:

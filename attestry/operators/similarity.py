@@ -1,4 +1,4 @@
-"""Hamming-threshold joins of 64-bit hashes by pigeonhole bands."""
+"""Hamming-threshold joins of 64-bit hashes by pieces that must agree."""
 
 from __future__ import annotations
 
@@ -12,20 +12,53 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+#: A hash is cut into PIECES; those within ``most`` bits agree on PIECES - most of them at least, and meet on the key of some such choice.
+PIECES = 11
+
+
+def _choices(h: Column, most: int) -> Column:
+    """The keys of a hash: each choice of the pieces that must agree, with their bits and the number of the choice."""
+    from itertools import combinations
+
+    cuts = [(64 * i // PIECES, 64 * (i + 1) // PIECES) for i in range(PIECES)]
+    piece = [F.call_function("shiftrightunsigned", h, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in cuts]
+    kept = list(combinations(range(PIECES), PIECES - most))
+    pieces = F.array(*piece)
+    picks = F.array(*(F.array(*(F.lit(i) for i in k)) for k in kept))
+    return F.transform(picks, lambda pick, n: F.xxhash64(n, F.transform(pick, lambda i: F.get(pieces, i))))
+
+
+def _near(u: DataFrame, most: int) -> DataFrame:
+    """(x, y) of distinct hashes within most bits, x < y as numbers. 165 keys of about 17 bits each: a key's bucket holds one hash of 131,000."""
+    k = u.select("hash", F.explode(_choices(F.col("hash"), most)).alias("key"))
+    pairs = k.alias("x").join(k.alias("y"), "key").where("x.hash < y.hash").select(F.col("x.hash").alias("x"), F.col("y.hash").alias("y"))
+    return pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).distinct()
+
+
 def hamming_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     """(a, b, distance): links of (id, hash) rows at a distance of at most ``most`` bits.
 
     Rows of one hash are a class under its smallest id: every other member links to it at distance 0, and classes
-    link through these ids. So no link between different hashes is lost, and copies aren't expanded into pairs. 64 bits are cut into most + 1 bands; two hashes within the distance agree on at least one, so the equi-join on
-    (band, bits) loses nothing.
+    link through these ids. So no link between different hashes is lost, and copies aren't expanded into pairs.
     """
-    bands = most + 1
-    width = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
-    cut = lambda h, lo, hi: F.call_function("shiftrightunsigned", h, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
     u = hashes.groupBy("hash").agg(F.min("id").alias("first"))
-    b = u.select("hash", "first", F.posexplode(F.array(*(cut(F.col("hash"), lo, hi) for lo, hi in width))).alias("band", "bits"))
-    near = b.alias("x").join(b.alias("y"), ["band", "bits"]).where("x.hash < y.hash")
-    distance = F.bit_count(F.col("x.hash").bitwiseXOR(F.col("y.hash")))
-    between = near.where(distance <= most).select(F.least("x.first", "y.first").alias("a"), F.greatest("x.first", "y.first").alias("b"), distance.alias("distance")).distinct()
+    one = lambda c: u.select(F.col("hash").alias(c), F.col("first").alias(f"f{c}"))
+    near = _near(u, most).join(one("x"), "x").join(one("y"), "y")
+    between = near.select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
     inside = hashes.join(u, "hash").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return between.unionByName(inside)
+
+
+def hamming_candidates(hashes: DataFrame, most: int = 8) -> DataFrame:
+    """(a, b), a < b: ids of (id, hash) rows, of which an id may have several, some of whose hashes lie within most bits. Ids with the
+    same hash are linked in the order of their ids, each to the next and to the first: enough to join all that another test confirms."""
+    from pyspark.sql import Window as W
+
+    u = hashes.select("hash").distinct()
+    near = _near(u, most)
+    rows = hashes.select("id", "hash").distinct()
+    between = near.join(rows.toDF("a", "x"), "x").join(rows.toDF("b", "y"), "y").select("a", "b")
+    w = W.partitionBy("hash").orderBy("id")
+    inside = rows.select(F.explode(F.array(F.lag("id").over(w), F.first("id").over(w))).alias("a"), F.col("id").alias("b")).where("a is not null")
+    both = between.unionByName(inside).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
