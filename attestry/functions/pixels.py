@@ -173,14 +173,15 @@ def png(a: np.ndarray) -> bytes:
 
 
 def class_image(label: int, seed: int, side: int = SIDE) -> np.ndarray:
-    """A picture of a class: stripes of its own direction and colour, with noise and a bright disc that differ by seed."""
+    """A picture of a class: stripes of its own direction and colour, with noise, a bright disc and blotches that differ by seed."""
     rng = np.random.default_rng((label, seed))
     y, x = np.mgrid[0:side, 0:side] / side
     wave = 0.5 + 0.5 * np.sin(2 * np.pi * (3 + label % 3) * (x * np.cos(label) + y * np.sin(label)) + rng.uniform(0, 1))
     hue = 0.5 + 0.4 * np.cos(label + np.arange(3) * 2.1)
     cx, cy = rng.uniform(0.25, 0.75, 2)
     disc = np.exp(-((x - cx) ** 2 + (y - cy) ** 2) * 60)
-    a = 0.6 * wave[..., None] * hue + 0.3 * disc[..., None] + rng.normal(0, 0.03, (side, side, 3)) + 0.08
+    blotches = rng.uniform(-0.3, 0.3, (4, 4, 3)).repeat(-(-side // 4), axis=0).repeat(-(-side // 4), axis=1)[:side, :side]
+    a = 0.6 * wave[..., None] * hue + 0.3 * disc[..., None] + blotches + rng.normal(0, rng.uniform(0.01, 0.06), (side, side, 3)) + 0.08
     return (np.clip(a, 0, 1) * 255).astype(np.uint8)
 
 

@@ -114,7 +114,8 @@ def near_duplicate(samples: DataFrame) -> DataFrame:
     # components work on numbers
     numbered = stored(s.select("id", F.monotonically_increasing_id().alias("k")), "numbers")
     e = edges.join(numbered.toDF("a", "ka"), "a").join(numbered.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    groups = stored(graph.clusters(e, LEAST_CLUSTER).join(numbered, F.col("id") == F.col("k")).select(numbered["id"], "component", "size"), "groups")
+    groups = graph.clusters(e, LEAST_CLUSTER).withColumnRenamed("id", "k")
+    groups = stored(groups.join(numbered, "k").select("id", "component", "size"), "groups")
     member = s.join(groups, "id")
     # the mean cosine of all pairs from the sum of the vectors: no pairs are made
     total = member.select("component", F.posexplode("u").alias("at", "x")).groupBy("component", "at").agg(F.sum("x").alias("t")).groupBy("component").agg(F.sum(F.col("t") * F.col("t")).alias("square"))

@@ -59,6 +59,7 @@ def hamming_candidates(hashes: DataFrame, most: int = 8) -> DataFrame:
     rows = hashes.select("id", "hash").distinct()
     between = near.join(rows.toDF("a", "x"), "x").join(rows.toDF("b", "y"), "y").select("a", "b")
     w = W.partitionBy("hash").orderBy("id")
-    inside = rows.select(F.explode(F.array(F.lag("id").over(w), F.first("id").over(w))).alias("a"), F.col("id").alias("b")).where("a is not null")
+    linked = rows.select("id", F.array(F.lag("id").over(w), F.first("id").over(w)).alias("to"))
+    inside = linked.select(F.explode("to").alias("a"), F.col("id").alias("b")).where("a is not null")
     both = between.unionByName(inside).where("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestry.operators.rollup import modal
 
@@ -39,9 +38,7 @@ def image_folder(spark: SparkSession, root: str) -> DataFrame:
     return _images(spark, root).select(F.col("rel").alias("sample_id"), F.col("path").alias("image_path"), F.when(F.size(parts) > 1, parts[0]).alias("label"), _none().alias("contributor_id"), _none().alias("batch_id"))
 
 
-_COCO = T._parse_datatype_string(
-    "images array<struct<id:long,file_name:string,contributor_id:string,batch_id:string>>, annotations array<struct<image_id:long,category_id:long>>, categories array<struct<id:long,name:string>>"
-)
+_COCO = "images array<struct<id:long,file_name:string,contributor_id:string,batch_id:string>>, annotations array<struct<image_id:long,category_id:long>>, categories array<struct<id:long,name:string>>"
 
 
 def coco(spark: SparkSession, annotations: str) -> DataFrame:
