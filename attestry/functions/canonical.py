@@ -1,8 +1,11 @@
 """Canonical JSON: one text for one value, whatever wrote it. Keys are sorted, nothing is spaced, text stays UTF-8,
-numbers that aren't finite become the strings NaN, Infinity and -Infinity, minus zero is zero, bytes are hexadecimal."""
+numbers that aren't finite become the strings NaN, Infinity and -Infinity, minus zero is zero, bytes are hexadecimal, dates are in
+ISO form and decimals as written. Any other type is an error: a digest of how an object happens to print is none of its content."""
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import hashlib
 import json
 import math
@@ -29,7 +32,11 @@ def plain(value):
         return sorted((plain(v) for v in value), key=text)
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
-    return str(value)
+    if isinstance(value, (datetime.datetime, datetime.date)):
+        return value.isoformat()
+    if isinstance(value, decimal.Decimal):
+        return str(value)
+    raise TypeError(f"{type(value).__name__} has no canonical form")
 
 
 def text(value) -> str:

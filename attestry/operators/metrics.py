@@ -37,16 +37,16 @@ def roc_points(df: DataFrame) -> DataFrame:
     t = running(ranged(g, "_down"), {"tp": "p", "fp": "q"}, ["_down"]).crossJoin(F.broadcast(whole))
     t = t.where("np > 0 and nq > 0").select(F.col("score").alias("threshold"), (F.col("fp") / F.col("nq")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
     start = df.sparkSession.sql("select double('infinity') threshold, 0D fpr, 0D tpr")
-    return start.unionByName(t)
+    end = whole.where("coalesce(np, 0) = 0 or coalesce(nq, 0) = 0").selectExpr("-double('infinity') as threshold", "1D as fpr", "1D as tpr")
+    return start.unionByName(t).unionByName(end)
 
 
 def tpr_at_fpr(df: DataFrame, at: float = 0.01) -> DataFrame:
     """(tpr): linear between the ROC points around at; of points with the same fpr the last counts."""
-    p = roc_points(df).groupBy("fpr").agg(F.max("tpr").alias("tpr"))
-    lo = p.where(F.col("fpr") <= at).agg(F.max(F.struct("fpr", "tpr")).alias("lo"))
-    hi = roc_points(df).where(F.col("fpr") > at).agg(F.min(F.struct("fpr", "tpr")).alias("hi"))
+    point = F.struct("fpr", "tpr")
+    both = roc_points(df).agg(F.max(F.when(F.col("fpr") <= at, point)).alias("lo"), F.min(F.when(F.col("fpr") > at, point)).alias("hi"))
     part = (F.lit(at) - F.col("lo.fpr")) / (F.col("hi.fpr") - F.col("lo.fpr"))
-    return lo.crossJoin(hi).select(F.coalesce(F.col("lo.tpr") + part * (F.col("hi.tpr") - F.col("lo.tpr")), "lo.tpr").alias("tpr"))
+    return both.select(F.coalesce(F.col("lo.tpr") + part * (F.col("hi.tpr") - F.col("lo.tpr")), "lo.tpr").alias("tpr"))
 
 
 def average_precision(df: DataFrame, key: str) -> DataFrame:

@@ -41,9 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); set to a temporary one only where unset, as in tests."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset a local session, as in tests, gets a
+    temporary one; on a cluster that is an error, as executors share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
