@@ -1,7 +1,8 @@
 """Verification of append-only, hash-linked logs with windows.
 
-Every check needs only stored neighbours, so a log is verified in parallel by chain. Rows: (chain, idx, seq, prev_hash,
-record_hash, nonce, ts) where idx is the line. Malformed rows (null in any of these) are reported and otherwise
+Every check needs only stored neighbours, so a log is verified in parallel: chains are cut into ranges of lines, and each range takes up the
+last hash, highest number and latest time of those before it, a row for each range. A chain that holds all lines is no single task. Rows:
+(chain, idx, seq, prev_hash, record_hash, nonce, ts) where idx is the line. Malformed rows (null in any of these) are reported and otherwise
 passed over: the next good row links to the last good one.
 """
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestry.operators.ordered import ranged
+
 GENESIS = "0" * 64
 MALFORMED, CHAIN, REPLAY, GAP, NONCE, TIME = "MALFORMED", "CHAIN_BROKEN", "SEQUENCE_REPLAY", "SEQUENCE_GAP", "NONCE_REUSE", "TIMESTAMP_REGRESSION"
 FIELDS = ("seq", "prev_hash", "record_hash", "nonce", "ts")
@@ -37,10 +40,14 @@ def verify_log_detail(log: DataFrame, content_hash: Column | None = None) -> Dat
     none = [F.lit(None).cast("long").alias(c) for c in DETAIL]
     log = log.withColumn("_own", F.coalesce(content_hash, "record_hash") if content_hash is not None else F.col("record_hash"))
     bad = log.where(~ok).select("chain", "idx", "seq", F.lit(MALFORMED).alias("code"), *none)
-    w = W.partitionBy("chain").orderBy("idx")
+    good = ranged(log.where(ok), "idx")
+    ends = good.groupBy("chain", "_b").agg(F.max_by("_own", "idx").alias("l"), F.max("seq").alias("s"), F.max("ts").alias("t"))
+    past = W.partitionBy("chain").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("chain", "_b", F.last("l").over(past).alias("_l"), F.max("s").over(past).alias("_s"), F.max("t").over(past).alias("_t"))
+    w = W.partitionBy("chain", "_b").orderBy("idx")
     before = w.rowsBetween(W.unboundedPreceding, -1)
-    g = log.where(ok).select(
-        "*", F.lag("_own", 1, GENESIS).over(w).alias("expected"), F.max("seq").over(before).alias("top"), F.max("ts").over(before).alias("latest"),
+    g = good.join(ends, ["chain", "_b"]).select(
+        "*", F.coalesce(F.lag("_own").over(w), "_l", F.lit(GENESIS)).alias("expected"), F.greatest(F.max("seq").over(before), "_s").alias("top"), F.greatest(F.max("ts").over(before), "_t").alias("latest"),
         F.lag("idx").over(W.partitionBy("chain", "seq").orderBy("idx")).alias("used"), F.min("idx").over(W.partitionBy("chain", "nonce")).alias("nonce_at"),
     )
     order = F.when(F.col("used").isNotNull() | (F.col("seq") < F.col("top")), REPLAY).when(F.col("seq") > F.col("top") + 1, GAP)

@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions.grading import bounded
 from attestry.functions.vectors import as_doubles, dot, normalized
+from attestry.session import stored
 
 MAD_SCALE = 1.4826
 
 
+#: Groups of up to so many rows are ordered in one task, after a count of the largest; larger ones are cut first. The result is the same.
+SMALL = 1_000_000
+
+
+def _small(df: DataFrame, by: list[str]) -> bool:
+    return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL
+
+
+def medians(df: DataFrame, by: list[str], value: Column, name: str = "median") -> DataFrame:
+    """(*by, name): the exact median of each group.
+
+    In groups over ``SMALL`` a sketch brackets it between two values that a thousandth of the group's rows lie between, give or take ties. Rows below are counted, and only
+    the distinct values inside are ordered: no task holds a group's values.
+    """
+    d = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    if _small(df, by):
+        return d.groupBy(*by).agg(F.percentile("_v", 0.5).alias(name))
+    cut = d.groupBy(*by).agg(F.percentile_approx("_v", [0.4995, 0.5005], 100_000).alias("_c"), F.count("*").alias("_n"))
+    near = d.join(cut, by)
+    lo, hi = F.col("_c")[0], F.col("_c")[1]
+    below = near.where(F.col("_v") < lo).groupBy(*by).agg(F.count("*").alias("_below"))
+    c = near.where((F.col("_v") >= lo) & (F.col("_v") <= hi)).groupBy(*by, "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    upto = F.sum("_k").over(W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    r = c.join(below, by, "left").withColumn("_upto", F.coalesce("_below", F.lit(0)) + upto)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    return r.groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(name))
+
+
 def robust_z(df: DataFrame, value: str, by: str) -> DataFrame:
     """df with z: distance from the group's median in scaled MADs; population deviation where the MAD is 0, else 1."""
-    med = df.groupBy(by).agg(F.percentile(value, 0.5).alias("_med"), F.stddev_pop(value).alias("_sd"))
+    med = df.groupBy(by).agg(F.stddev_pop(value).alias("_sd")).join(medians(df, [by], F.col(value), "_med"), by)
     d = df.join(med, by)
-    mad = d.groupBy(by).agg((F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5) * MAD_SCALE).alias("_mad"))
+    mad = medians(d, [by], F.abs(F.col(value) - F.col("_med")), "_mad").withColumn("_mad", F.col("_mad") * MAD_SCALE)
     scale = F.when(F.col("_mad") > 1e-12, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     return d.join(mad, by).withColumn("z", (F.col(value) - F.col("_med")) / scale).drop("_med", "_sd", "_mad")
 
 
 def mad_index(df: DataFrame, value: str) -> DataFrame:
     """df with index: how far below the median a value lies, in scaled MADs; the population deviation where that is 0, else 1."""
-    med = df.agg(F.percentile(value, 0.5).alias("_med"), F.stddev_pop(value).alias("_sd"))
+    one = df.withColumn("_one", F.lit(1))
+    med = medians(one, ["_one"], F.col(value), "_med").drop("_one").crossJoin(df.agg(F.stddev_pop(value).alias("_sd")))
     d = df.crossJoin(F.broadcast(med))  # one row
-    mad = d.agg((F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5)).alias("_mad"))
+    mad = medians(d.withColumn("_one", F.lit(1)), ["_one"], F.abs(F.col(value) - F.col("_med")), "_mad").drop("_one")
     scale = F.when(F.col("_mad") > 1e-12, F.col("_mad") * MAD_SCALE).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     return d.crossJoin(F.broadcast(mad)).withColumn("index", (F.col("_med") - F.col(value)) / scale).drop("_med", "_sd", "_mad")
 
 
+def nearest_in_class(df: DataFrame, label: str, distance: str, key: str, k: Column) -> DataFrame:
+    """The first k (a column of the class) rows of each class by (distance, key).
+
+    In classes over ``SMALL`` a sketch cuts the distances: rows clearly within the first k are counted, not ordered, rows clearly beyond are left, and only
+    those between are ranked.
+    """
+    d = df.withColumn("_k", k.cast("long"))
+    r = F.row_number().over(W.partitionBy(label).orderBy(distance, key))
+    if _small(df, [label]):
+        return d.withColumn("_r", r).where("_r <= _k").select(df.columns)
+    share = d.groupBy(label).agg(F.percentile_approx(distance, [i / 200 for i in range(201)], 20_000).alias("_q"), F.count("*").alias("_n"))
+    d = d.join(share, label)
+    # two cuts, half a hundredth of the class to each side of the one that holds rank k
+    place = F.floor(200 * F.col("_k") / F.col("_n")).cast("int")
+    lo, hi = F.get("_q", F.greatest(F.lit(0), place - 2)), F.get("_q", F.least(F.lit(200), place + 2))
+    d = d.withColumns({"_lo": F.when(place > 2, lo).otherwise(float("-inf")), "_hi": F.when(place < 198, hi).otherwise(float("inf"))}).drop("_q", "_n")
+    sure = d.where(F.col(distance) < F.col("_lo"))
+    taken = sure.groupBy(label).agg(F.count("*").alias("_sure"))
+    edge = d.where((F.col(distance) >= F.col("_lo")) & (F.col(distance) <= F.col("_hi"))).join(taken, label, "left")
+    edge = edge.withColumn("_r", r).where(F.col("_r") <= F.col("_k") - F.coalesce("_sure", F.lit(0)))
+    return sure.select(df.columns).unionByName(edge.select(df.columns))
+
+
 def class_distances(samples: DataFrame, id_col: str, label: str, vector: str, least: int = 8, share: float = 0.7) -> DataFrame:
     """(id, label, distance, ratio, score) from each class's trimmed centre; classes under ``least`` are left out.
 
@@ -39,18 +92,19 @@ def class_distances(samples: DataFrame, id_col: str, label: str, vector: str, le
     n = s.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     s = s.join(n, "label")
     long = s.select("id", "label", F.posexplode("v").alias("at", "x"))
-    centre = long.groupBy("label", "at").agg(F.percentile("x", 0.5).alias("c"))
+    centre = stored(medians(long, ["label", "at"], F.col("x"), "c"), "centre")
     core = None
     for _ in range(2):
         # the centre is one vector per class: it joins whole, and rows aren't exploded again
         whole = centre.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("centre"))
         d = s.join(whole, "label").withColumn("d", F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)))
-        core = d.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("d", "id"))).where(F.col("r") <= F.greatest(F.lit(4), F.floor(F.col("n") * share)))
+        # each pass is stored: the next reads it several times
+        core = stored(nearest_in_class(stored(d.drop("centre"), "distances"), "label", "d", "id", F.greatest(F.lit(4), F.floor(F.col("n") * share))), "core")
         centre = core.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("c"))
     whole = centre.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("centre"))
     distance = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    out = s.join(whole, "label").select("id", "label", distance.alias("distance"))
-    typical = out.join(core.select("id"), "id", "left_semi").groupBy("label").agg(F.percentile("distance", 0.5).alias("t"))
+    out = stored(s.join(whole, "label").select("id", "label", distance.alias("distance")), "distances")
+    typical = medians(out.join(core.select("id"), "id", "left_semi"), ["label"], F.col("distance"), "t")
     out = out.join(typical, "label").withColumn("ratio", F.col("distance") / F.when(F.col("t") > 0, F.col("t")).otherwise(1.0))
     return out.select("id", "label", "distance", "ratio", bounded(F.col("ratio"), 2.0, 3.0).alias("score"))
 
@@ -125,9 +179,9 @@ def label_disagreement(near: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 def tile_anomaly(samples: DataFrame, id_col: str, vector: str, hot: float = 4.0) -> DataFrame:
     """(id, worst_tile, worst_z, hot, consistency) against the same tile of all samples; of equal tiles the first."""
     t = samples.select(F.col(id_col).alias("id"), F.posexplode(as_doubles(F.col(vector))).alias("tile", "x"))
-    med = t.groupBy("tile").agg(F.percentile("x", 0.5).alias("m"))
+    med = medians(t, ["tile"], F.col("x"), "m")
     d = t.join(F.broadcast(med), "tile").withColumn("d", F.abs(F.col("x") - F.col("m")))
-    mad = d.groupBy("tile").agg(F.percentile("d", 0.5).alias("mad"))
+    mad = medians(d, ["tile"], F.col("d"), "mad")
     z = d.join(F.broadcast(mad), "tile").select("id", "tile", (F.col("d") / (MAD_SCALE * F.col("mad") + 1e-9)).alias("z"))
     rate = z.groupBy("tile").agg(F.avg((F.col("z") > hot).cast("double")).alias("hot_rate"))
     worst = z.groupBy("id").agg(F.max(F.struct("z", -F.col("tile"))).alias("w")).select("id", (-F.col("w.col2")).alias("tile"), F.col("w.z").alias("worst_z"))

@@ -52,6 +52,17 @@ def beta_quantile(q: float):
     return run
 
 
+def p_rate_above(k: Column, n: Column, threshold: float = 0.05) -> Column:
+    """P(rate > threshold) under Beta(1 + k, 1 + n - k), whatever the size of k."""
+
+    @pandas_udf("double")
+    def run(k: pd.Series, n: pd.Series) -> pd.Series:
+        a, b = 1.0 + k.to_numpy(float), 1.0 + np.maximum(n.to_numpy(float) - k.to_numpy(float), 0)
+        return pd.Series(np.clip(1 - _beta_tail(a, b, np.full(len(a), threshold)), 0, 1))
+
+    return run(k, n)
+
+
 def credible_interval(k: Column, n: Column) -> tuple[Column, Column]:
     return beta_quantile(0.025)(k, n), beta_quantile(0.975)(k, n)
 

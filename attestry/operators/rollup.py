@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.grading import p_rate_above, risk_disposition
+from attestry.functions.grading import risk_disposition
 from attestry.operators.ordered import ranged, running
+from attestry.operators.resampling import p_rate_above
 from attestry.session import stored
 
 

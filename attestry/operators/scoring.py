@@ -35,7 +35,7 @@ def stratified_split(df: DataFrame, key: str, by: str | None = None, fractions:
     for name, n in sorted(strata.items()):
         one = d.where(F.col("_s") == name)
         r = running(ranged(one, "_u"), {"_r": "_one"}, ["_u", key])
-        fit, cal = round(fractions[0] * n), round(fractions[1] * n)
+        fit, cal = int(fractions[0] * n + 0.5), int(fractions[1] * n + 0.5)
         parts.append(r.withColumn("split", F.when(F.col("_r") <= fit, "fit").when(F.col("_r") <= fit + cal, "calibrate").otherwise("test")).select(*df.columns, "split"))
     if not parts:
         return df.withColumn("split", F.lit("test"))
@@ -94,12 +94,10 @@ def table_detection(findings: DataFrame, truth: DataFrame, draws: int = 200) ->
 
 def table_contributors(findings: DataFrame, truth: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(contributor, n_samples, n_flagged, flagged_rate, low, high, p_above, disposition, true_poison_rate, matches_truth)."""
-    from attestry.functions.grading import p_rate_above
-
     flagged = findings.where("asset_type = 'sample' and unavailable_reason is null and disposition <> 'accept'").select(F.col("asset_ref").alias("sample_id")).distinct().withColumn("_f", F.lit(1))
     g = truth.where(F.col("contributor_id").isNotNull()).join(flagged, "sample_id", "left").groupBy("contributor_id").agg(F.count("*").alias("n"), F.count("_f").alias("k"), F.avg(F.col("is_poisoned").cast("double")).alias("rate"))
     low, high = resampling.credible_interval(F.col("k"), F.col("n"))
-    p = p_rate_above(F.col("k"), F.col("n"), threshold)
+    p = resampling.p_rate_above(F.col("k"), F.col("n"), threshold)
     g = g.select(F.col("contributor_id").alias("contributor"), F.col("n").alias("n_samples"), F.col("k").alias("n_flagged"), (F.col("k") / F.col("n")).alias("flagged_rate"), low.alias("low"), high.alias("high"), p.alias("p_above"), F.col("rate").alias("true_poison_rate"))
     g = g.withColumn("disposition", risk_disposition(F.col("p_above"), F.col("n_samples")))
     return g.withColumn("matches_truth", (F.col("true_poison_rate") > threshold) == (F.col("disposition") != "accept"))

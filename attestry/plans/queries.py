@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions.canonical import canonical_udf
 from attestry.functions.grading import bounded, disposition_for, duplicate_score, severity_for, verdict_band
-from attestry.functions.vectors import as_doubles
-from attestry.operators import custody, findings, graph, layers, logs, metrics, outliers, resampling, rollup, shift, similarity
+from attestry.functions.vectors import as_doubles, normalized
+from attestry.operators import attacks, custody, detectors, findings, graph, layers, logs, metrics, outliers, resampling, rollup, scoring, shift, similarity
 from attestry.session import shared_path, table
 from attestry.streaming import logs as stream
 
@@ -192,7 +192,7 @@ def knn_label_noise(spark: SparkSession, d: str) -> DataFrame:
     return outliers.label_disagreement(near, e.select(F.col("vec_id").alias("id"), "label"), 20).select("id", "label", "majority", *_r("agreement", "score"))
 
 
-@query("""
+_OOD = """
 WITH s AS (SELECT vec_id AS id, label, count(*) OVER (PARTITION BY label) AS n, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 x AS (SELECT id, label, n, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s WHERE n >= 8),
 c0 AS (SELECT label, i, median(x) AS c FROM x GROUP BY 1, 2),
@@ -204,8 +204,10 @@ k1 AS (SELECT id FROM d1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY
 c2 AS (SELECT label, i, avg(x) AS c FROM x WHERE id IN (SELECT id FROM k1) GROUP BY 1, 2),
 d2 AS (SELECT x.label, id, sqrt(sum((x - c) ** 2)) AS d FROM x JOIN c2 USING (label, i) GROUP BY 1, 2),
 t AS (SELECT label, median(d) AS t FROM d2 WHERE id IN (SELECT id FROM k1) GROUP BY label)
-SELECT id, label, round(d, 6) AS distance, round(d / t, 6) AS ratio, round((d / t) ** 3 / (8 + (d / t) ** 3), 6) AS score FROM d2 JOIN t USING (label)
-""")
+"""
+
+
+@query(_OOD + "SELECT id, label, round(d, 6) AS distance, round(d / t, 6) AS ratio, round((d / t) ** 3 / (8 + (d / t) ** 3), 6) AS score FROM d2 JOIN t USING (label)")
 def ood_class_distance(spark: SparkSession, d: str) -> DataFrame:
     return outliers.class_distances(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("id", "label", *_r("distance", "ratio", "score"))
 
@@ -601,3 +603,96 @@ def spectral_projection(spark: SparkSession, d: str) -> DataFrame:
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", canonical_udf()("props").alias("canonical"))
     return e.withColumn("digest", F.sha2("canonical", 256))
+
+
+@query(_OOD + """, f AS (SELECT id, label, d / t AS r, (d / t) ** 3 / (8 + (d / t) ** 3) AS s FROM d2 JOIN t USING (label))
+SELECT id::VARCHAR AS asset_ref, round(s, 6) AS score, CASE WHEN s >= 0.9 THEN 'critical' WHEN s >= 0.7 THEN 'high' WHEN s >= 0.45 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN s >= 0.8 THEN 'quarantine' WHEN s >= 0.5 THEN 'review' ELSE 'accept' END AS disposition, 'This image is ' || printf('%.2f', r) || ' times as far from the centre of class ''' || label || ''' as its typical images.' AS reason FROM f""")
+def ood_findings(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("label"), "embedding")
+    return detectors.ood(e).select("asset_ref", *_r("score"), "severity", "disposition", "reason")
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id AS id, v FROM e UNION ALL SELECT vec_id + 1000000, list_transform(v, lambda x, i: CASE WHEN i = vec_id % 64 + 1 THEN x + 0.02 ELSE x END) FROM e WHERE vec_id % 5 = 0),
+n AS (SELECT id, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) AS v FROM u),
+p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS s FROM n a JOIN n b ON a.id < b.id)
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.99
+""")
+def close_pairs_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a cosine of 0.99: the table has none, so every fifth vector has a near copy planted."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("v"))
+    moved = F.transform("v", lambda x, i: F.when(i == F.pmod("id", F.lit(64)), x + 0.02).otherwise(x))
+    u = e.unionByName(e.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), moved.alias("v")))
+    return detectors.close_pairs(u.select("id", normalized(F.col("v")).alias("u"))).select("a", "b", *_r("similarity"))
+
+
+@query("""
+WITH u AS (SELECT doc_id, lang, ('0x' || substr(md5('split|' || doc_id), 1, 13))::BIGINT AS u FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY u, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM u)
+SELECT doc_id, CASE WHEN r <= floor(0.4 * n + 0.5) THEN 'fit' WHEN r <= floor(0.4 * n + 0.5) + floor(0.3 * n + 0.5) THEN 'calibrate' ELSE 'test' END AS split FROM r
+""")
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "split")
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source").dropDuplicates(["doc_id"])
+    y = table(spark, d, "labels").select("doc_id", (1 - F.col("quality")).cast("int").alias("is_poisoned"))
+    return y.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("sample_id"), "is_poisoned", F.when(F.col("is_poisoned") == 1, "label_flip").alias("attack_class"), F.col("source").alias("contributor_id"))
+
+
+@query(_FINDINGS + """, t AS (SELECT l.doc_id::VARCHAR AS ref, any_value(1 - quality) AS y, any_value(source) AS g FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY l.doc_id),
+k AS (SELECT DISTINCT asset_ref FROM f WHERE asset_type = 'sample' AND disposition <> 'accept'),
+c AS (SELECT g, count(*) AS n, count(k.asset_ref) AS k, avg(y) AS rate FROM t LEFT JOIN k ON k.asset_ref = t.ref GROUP BY g),
+j AS (SELECT g, n, k, unnest(range(0, k + 1)) AS j FROM c),
+l AS (SELECT g, n, k, j, (n + 1) * ln(cast(0.95 AS double)) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n + 2 - j) / j) + ln(cast(0.05 AS double)) - ln(cast(0.95 AS double)) END) OVER (PARTITION BY g ORDER BY j) AS l FROM j),
+p AS (SELECT g, least(1.0, sum(exp(l))) AS p FROM l GROUP BY g),
+d AS (SELECT c.g, n, k, rate, p, CASE WHEN p > 0.9 AND n >= 30 THEN 'quarantine' WHEN p > 0.6 THEN 'review' ELSE 'accept' END AS disposition FROM c JOIN p ON c.g = p.g)
+SELECT g AS contributor, n AS n_samples, k AS n_flagged, round(k / n, 6) AS flagged_rate, round(p, 6) AS p_above, round(rate, 6) AS true_poison_rate, disposition, (rate > 0.05) = (disposition <> 'accept') AS matches_truth FROM d""")
+def table_contributors(spark: SparkSession, d: str) -> DataFrame:
+    t = scoring.table_contributors(_findings(spark, d), _truth(spark, d))
+    return t.select("contributor", "n_samples", "n_flagged", *_r("flagged_rate", "p_above", "true_poison_rate"), "disposition", "matches_truth")
+
+
+@query("SELECT l_linestatus AS attack_class, count(*) AS attempts, count(*) FILTER (l_quantity > 20) AS detected, round(count(*) FILTER (l_quantity > 20) / count(*), 6) AS rate, count(*) FILTER (l_returnflag = 'R') AS named, array_to_string(list_sort(list(DISTINCT l_returnflag)), ', ') AS codes FROM lineitem GROUP BY 1")
+def table_tamper(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("attack_class"), (F.col("l_quantity") > 20).alias("detected"), (F.col("l_returnflag") == "R").alias("correct_code"), F.array("l_returnflag").alias("codes"))
+    return scoring.table_tamper(li).select("attack_class", "attempts", "detected", *_r("rate"), "named", "codes")
+
+
+@query(_FINDINGS + "SELECT asset_ref, asset_type, attack_class, detector_id, score, disposition, CASE WHEN odd THEN 'jargon,no_number' ELSE '' END AS violations FROM f UNION ALL SELECT 'm1', 'model', 'model_substitute', 'fingerprint', 0, 'accept', ''")
+def findings_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Findings written as canonical lines in the order of their assets and read again, with the rules that each breaks."""
+    from attestry.sources import records
+
+    path = shared_path(spark, "lines")
+    records.write_lines(_findings(spark, d), path, ["asset_ref", "detector_id"])
+    return records.read_findings(spark, path).select("asset_ref", "asset_type", "attack_class", "detector_id", "score", "disposition", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT doc_id::VARCHAR AS sample_id, lang FROM documents), a AS (SELECT * FROM s WHERE lang IS NOT NULL ORDER BY md5('flip|' || sample_id), sample_id LIMIT 40),
+b AS (SELECT * FROM s WHERE lang = 'en' AND sample_id NOT IN (SELECT sample_id FROM a) ORDER BY md5('system|' || sample_id), sample_id LIMIT 30)
+SELECT sample_id, lang AS true_label, 'label_flip' AS attack_class FROM a UNION ALL SELECT sample_id, lang, 'systematic_mislabel' FROM b
+""")
+def attack_victims(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("label"), F.lit("C0").alias("contributor_id")).distinct()
+    t = attacks.systematic_mislabel(attacks.label_flip(attacks.clean_truth(s), 40, ["de", "en", "es", "fr"]), 30, "en", "fr")
+    return t.where("is_poisoned = 1 and stored_label <> true_label").select("sample_id", "true_label", "attack_class")
+
+
+@query()
+def ks_p_value(spark: SparkSession, d: str) -> DataFrame:
+    return shift.with_p_value(shift.ks_statistic(_measures(spark, d))).select("measure", *_r("d", "p"), "n_reference", "n_observed")
+
+
+@query(_NEAR.replace(" WHERE a.vec_id % 50 = 0", "") + """, c AS (SELECT id, any_value(label) AS label, l, count(*) AS n, min(rank) AS r FROM n GROUP BY id, l),
+m AS (SELECT id, label, l AS majority, n FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, r) = 1),
+g AS (SELECT m.*, coalesce((SELECT n FROM c WHERE c.id = m.id AND c.l = m.label), 0) / 20 AS agreement FROM m), s AS (SELECT *, (1 - agreement) * n / 20 AS s FROM g)
+SELECT id::VARCHAR AS asset_ref, round(s, 6) AS score, CASE WHEN s >= 0.9 THEN 'critical' WHEN s >= 0.7 THEN 'high' WHEN s >= 0.45 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN s >= 0.8 THEN 'quarantine' WHEN s >= 0.5 THEN 'review' ELSE 'accept' END AS disposition FROM s""")
+def label_noise_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample against all others, in blocks."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("label"), "embedding")
+    return detectors.label_noise(e).select("asset_ref", *_r("score"), "severity", "disposition")

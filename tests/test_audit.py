@@ -137,3 +137,14 @@ def test_hamming_candidates_equal_all_pairs(spark):
     got = {(r["a"], r["b"]) for r in similarity.hamming_candidates(spark.createDataFrame(signed, "id long, hash long")).collect()}
     want = {(min(a, b), max(a, b)) for a, x in rows for b, y in rows if a != b and bin(x ^ y).count("1") <= 8}
     assert got == want and 20 < len(want) < 60 and math.isfinite(len(got))
+
+
+def test_large_groups_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(i), float(x)) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 3000), np.round(rng.normal(size=3000), 2)))]
+    df = spark.createDataFrame(rows, "g int, id long, x double")
+    get = lambda: ({r["g"]: r["median"] for r in outliers.medians(df, ["g"], F.col("x")).collect()}, {r["id"] for r in outliers.nearest_in_class(df, "g", "x", "id", F.lit(317)).collect()})
+    small = get()
+    monkeypatch.setattr(outliers, "SMALL", 10)
+    assert get() == small and len(small[1]) == 951
+    assert small[0][1] == np.median([x for g, _, x in rows if g == 1])

@@ -197,3 +197,20 @@ def test_lines_keep_whole_numbers(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == ['{"a":2}', '{"b":1}']
     with pytest.raises(TypeError):
         canonical.text(object())
+
+
+def test_two_sample_p_values():
+    import itertools
+
+    from attestry.operators.shift import _ks_tail
+
+    def d(a, b):
+        return max(abs(sum(v <= t for v in a) / len(a) - sum(v <= t for v in b) / len(b)) for t in [*a, *b])
+
+    # every way of dealing seven values into three and four
+    all_ = [d(a, [v for v in range(7) if v not in a]) for a in itertools.combinations(range(7), 3)]
+    for value in set(all_):
+        assert abs(_ks_tail(value, 3, 4) - sum(v >= value - 1e-9 for v in all_) / len(all_)) < 1e-9
+        assert abs(_ks_tail(value, 4, 3) - _ks_tail(value, 3, 4)) < 1e-12
+    limit = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * 0.06**2 * 450) for k in range(1, 50))
+    assert abs(_ks_tail(0.06, 900, 900) - limit) < 0.01 and _ks_tail(0.5, 10**6, 10**6) < 1e-9
