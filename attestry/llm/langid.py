@@ -35,16 +35,21 @@ MAX_TRAIN_CHARS = 2_000_000
 UND = "und"
 
 
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+
 @functools.lru_cache(maxsize=1)
-def _words() -> re.Pattern:
-    r"""Runs of letters: \w without digits, the underscore and the numerals that aren't letters."""
-    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-    letter = rf"[^\W\d_{numerals}]"
-    return re.compile(rf"{letter}+(?:['’]{letter}+)*")
+def _numerals() -> frozenset[str]:
+    """Numerals that are neither letters nor digits; the pattern takes them for letters."""
+    return frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 
 
 def words_of(text: str) -> list[str]:
-    return _words().findall(text.lower())
+    """Runs of letters in lower case."""
+    text = text.lower()
+    if not text.isascii() and not _numerals().isdisjoint(text):
+        text = text.translate(dict.fromkeys(map(ord, _numerals()), " "))
+    return _WORDS.findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
