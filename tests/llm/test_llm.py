@@ -15,7 +15,6 @@ from oracle import DATA, same  # noqa: E402
 from attestry.llm import chat, decontaminate, html, langid, mixing, neardup, packing, pii, quality, shingles, warc  # noqa: E402
 from attestry.llm.common import shared_path  # noqa: E402
 from attestry.llm.queries import ORACLES, QUERIES  # noqa: E402
-from attestry.operators import graph  # noqa: E402
 
 LONG = "w%d " * 3000 % tuple(range(3000))
 ODD = [(1, None, "x"), (2, "", "x"), (3, " \t\n\x0b\x0c\r ", None), (4, "A", "x"), (4, "A", "x"), (None, "B b", "x"), (5, LONG, "x"), (6, "Ünï ☃   \x85   <|endoftext|> 漢字", "x"), (7, "of the " * 30, "x")]
@@ -171,6 +170,15 @@ def test_chat_round_trip(spark):
             assert r["loss"] == (texts[r["target_index"]] or "")
 
 
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "long " * 50_000, "x"), (1, 1, "assistant", "long " * 50_000, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").withColumn("target_index", F.lit(9))
+    got = chat.chat_examples(df).collect()
+    # a repeated row is a turn of its own, with all before it as context
+    assert sorted((r["target_index"], r["n_context"], r["loss_chars"]) for r in got) == [(1, 1, 250_000), (2, 2, 250_000)]
+    assert chat.chat_examples(df.limit(0)).count() == 0
+
+
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">cookies</div>
 <p>{intro}</p><article><h1>Head &amp; more</h1><p><b>One<br>two  three<p>&lt;four&gt; &eacute;</p><aside>side</aside><form><p>f</form><section class="comments"><p>nice!</section></article>
 <div>{foot}</div><footer>foot</footer></body></html>"""
@@ -302,12 +310,6 @@ def test_near_duplicate_edges(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7)]
-    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
-
-
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, "A train leaves London at 40 km per hour and meets Paris traffic after 3 hours of slow travel; how far did it go?"), (2, "too short"), (3, None)], "item_id long, text string")
     q = "A train leaves {0} at {1} km per hour and meets {2} traffic after {3} hours of slow travel; how far did it go?"
@@ -609,3 +611,20 @@ def test_pipeline_keeps_clean_documents(spark):
     assert set(out["decontamination"]) == set(out["near_dedup"]) - bad
     assert set(out["surrogates"]) == set(out["decontamination"])
     assert {r["doc_id"] for r in cp.run(spark, DATA).select("doc_id").distinct().collect()} == set(out["surrogates"])
+
+
+def test_pipeline_takes_odd_documents(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    bench = spark.createDataFrame([(1, "of the of the of the of the of the of the"), (None, None)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d in (odd, odd.limit(0)):
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, d, str(tmp_path))
+            assert out.columns == odd.columns
+            d = out
+        ids = sorted(str(r["doc_id"]) for r in d.collect())
+        # texts without letters, and what the benchmark holds, go; the null id and the repeated row stay
+        assert ids in (["4", "4", "5", "6", "None"], [])
+        packed = cp.STAGES[-1][1](spark, d, str(tmp_path))
+        assert {str(r["doc_id"]) for r in packed.collect()} == set(ids)
