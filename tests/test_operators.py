@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from attestry.functions.grading import bounded, p_rate_above, squash, verdict_band
-from attestry.operators import logs, metrics, shift
+from attestry.operators import graph, logs, metrics, shift
 
 
 def one(spark, *cols):
@@ -166,3 +166,9 @@ def test_image_sources(spark, tmp_path):
     records.write_lines(spark.createDataFrame([(1, None, 0.5)], "b long, a string, c double"), f"{tmp_path}/lines")
     assert [r[0] for r in spark.read.text(f"{tmp_path}/lines").collect()] == ['{"b":1,"c":0.5}']
     assert records.markdown(spark.createDataFrame([(1, 0.123456)], "n int, x double"), 5).endswith("| 1 | 0.1235 |")
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
