@@ -43,7 +43,7 @@ CHUNK = 1 << 16
 BLOCK = 32
 #: Texts that are read side by side.
 DOCS = 256
-BATCH, RANGE = 2_500_000, 10_000_000
+BATCH, RANGE = 2_000_000, 8_000_000
 RATE, MAP_RATE, MAP_CELLS = 0.002, 0.02, 24
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
