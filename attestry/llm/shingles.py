@@ -71,7 +71,7 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def shingle_sets(texts: list[str | None], most: int = 1 << 20):
+def shingle_sets(texts: list[str | None], most: int = 1 << 18):
     """The shingle set of each text, hashing texts of about ``most`` characters at once: memory follows these, or the longest text."""
     i = 0
     while i < len(texts):
