@@ -32,14 +32,16 @@ MIN_SHARE = 0.5
 LEAST_INSIDE = 3
 UNITS = "kg|km|cm|mm|mg|ml|lb|lbs|oz|mi|ft|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|percent|euros?|dollars?|pounds?|meters?|metres?|miles?|hours?|minutes?|seconds?|days?|weeks?|months?|years?"
 _NAME, _UNIT = "\x01", "\x02"
-_TOKEN = r"\x01\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*|\x02?[\p{L}\p{M}\p{N}]+(?:[.,:/]\p{N}+)*"
-_PLAIN = r"[\p{L}\p{M}\p{N}]+(?:[.,:/]\p{N}+)*"
+# groups repeat possessively: others take a stack frame for each repeat, and a long run of names or numbers ends the executor
+_NAMES = r"([\p{Ll}\p{N},;] )(\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+)"
+_TOKEN = r"\x01\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*+|\x02?[\p{L}\p{M}\p{N}]+(?:[.,:/]\p{N}+)*+"
+_PLAIN = r"[\p{L}\p{M}\p{N}]+(?:[.,:/]\p{N}+)*+"
 
 
 def raw_tokens(text: Column) -> Column:
     """Tokens of a text; names start with \\x01 and units with \\x02."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _UNIT, "")
-    t = F.regexp_replace(t, r"([\p{Ll}\p{N},;] )(\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*)", "$1\x01$2")
+    t = F.regexp_replace(t, _NAMES, "$1\x01$2")
     t = F.when(F.rlike(t, F.lit(r"\p{N}")), F.regexp_replace(t, rf"(?i)(\p{{N}}) ?({UNITS})\b", "$1 \x02$2")).otherwise(t)
     return F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
 

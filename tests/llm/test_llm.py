@@ -341,6 +341,19 @@ def test_decontamination_finds_short_and_slot_heavy_items(spark):
     assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (3, 3, "verbatim"), (7, 4, "verbatim")}
 
 
+def test_long_runs_take_no_stack(spark):
+    n = 10_000
+    run = "see " + "Foo " * n + "1." * n + "1, a@" + "b." * n + "com"
+    # constants are folded in the driver, where an overflow is an error; in a task it ends the executor
+    raw, plain = decontaminate.raw_tokens(F.lit(run)), decontaminate.plain_tokens(F.lit(run))
+    assert spark.range(1).select(F.size(raw), F.size(plain), F.size(pii._found(F.lit(run)))).first()[:] == (n + 5, 2 * n + 4, 1)
+    item = "which of these two rivers has the longer course through the old forest"
+    d = spark.createDataFrame([(1, f"{run} {item}"), (2, run)], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
+    for r in pii.replace_pii(d, "k").collect():
+        assert r["n_entities"] == 1 and r["text"].startswith(run[: run.index("a@")]) and "@b." not in r["text"]
+
+
 def test_decontamination_finds_what_a_plain_search_finds(spark):
     import re
 
