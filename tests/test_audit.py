@@ -125,6 +125,33 @@ def test_close_pairs_and_neighbours_equal_all_pairs(spark):
         assert [r["other"] for r in sorted((r for r in near if r["id"] == i), key=lambda r: r["rank"])] == order
 
 
+def test_neighbours_of_odd_vectors_equal_a_plain_join(spark, monkeypatch):
+    from pyspark.sql import Window as W
+
+    from attestry.functions.vectors import dot, normalized
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:03d}", x) for i, x in enumerate(np.round(rng.normal(size=(120, 8)), 1).astype(np.float32).tolist())]
+    rows += [("copy", rows[0][1]), ("cope", rows[0][1]), ("zero", [0.0] * 8), ("none", None), ("part", [1.0, None] + [0.0] * 6), ("nan", [float("nan")] + [1.0] * 7), (None, [1.0] * 8), ("s005", rows[9][1])]
+    df = spark.createDataFrame(rows, "id string, u array<float>").cache()
+    v = df.select("id", normalized(outliers.as_doubles(F.col("u"))).alias("v"))
+    p = v.join(v.toDF("other", "w"), F.col("id") != F.col("other")).select("id", "other", F.round(dot(F.col("v"), F.col("w")), 9).alias("similarity"))
+    p = p.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("rank <= 9")
+    key = lambda x: sorted(repr((r["id"], r["rank"], r["other"], r["similarity"] if r["similarity"] is None else round(r["similarity"], 6) + 0.0)) for r in x.collect())
+    want = key(p)
+    few = F.col("id").like("%0%") | F.col("id").isin("nan", "none", "zero", "copy")
+    near = outliers.nearest(df.where(few), df, "id", "u", 9)
+    assert key(outliers.nearest_blocks(df, "id", "u", 9)) == want and key(outliers.nearest_blocks(df, "id", "u", 9, rows=1000)) == want
+    assert key(near) == key(p.where(few)) and len(want) > 1000
+    # neither a broadcast of the queries nor a product of tables by rows, which compares them component by component
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_block_products_shuffle_as_many_copies_whatever_the_table(spark):
+    copies = lambda n: outliers._vectors(spark.range(n).select("id", F.array(*[F.lit(1.0)] * 64).alias("u")), "id", "u", outliers.PARTS)[1]
+    assert copies(1000) == copies(900_000) == outliers.PARTS < copies(2_000_000)
+
+
 def test_hamming_candidates_equal_all_pairs(spark):
     import random
 
