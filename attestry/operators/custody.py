@@ -24,7 +24,11 @@ def signed(records: DataFrame, message: str, seed: str, to: str = "signature") -
     """records with the Ed25519 signature (binary) of a text column under a seed column (32 bytes)."""
     @pandas_udf("binary")
     def run(m: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else ed25519.sign(bytes(y), x.encode()) for x, y in zip(m, s, strict=True)])
+        ok = [i for i, (x, y) in enumerate(zip(m, s, strict=True)) if x is not None and y is not None]
+        out = [None] * len(m)
+        for i, x in zip(ok, ed25519.sign_all([bytes(s.iloc[i]) for i in ok], [m.iloc[i].encode() for i in ok]), strict=True):
+            out[i] = x
+        return pd.Series(out, dtype=object)
 
     return records.withColumn(to, run(message, seed))
 
@@ -33,7 +37,11 @@ def signature_failures(records: DataFrame, keyring: DataFrame, message: str = "r
     """(chain, idx, seq, code) of records whose actor has no key or whose signature is wrong or missing. keyring: (actor, key binary)."""
     @pandas_udf("boolean")
     def good(k: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None not in (a, b, c) and ed25519.verify(bytes(a), b.encode(), bytes(c)) for a, b, c in zip(k, m, s, strict=True)])
+        rows = [(i, bytes(a), b.encode(), bytes(c)) for i, (a, b, c) in enumerate(zip(k, m, s, strict=True)) if a is not None and b is not None and c is not None]
+        out = [False] * len(k)
+        for (i, *_), x in zip(rows, ed25519.verify_all(*([r[j] for r in rows] for j in (1, 2, 3))), strict=True):
+            out[i] = x
+        return pd.Series(out, dtype=bool)
 
     known = records.join(keyring.select(actor, F.col("key").alias("_key")).dropDuplicates([actor]), actor, "left")
     code = F.when(F.col("_key").isNull(), ACTOR).when(~F.col("_good"), SIGNATURE)

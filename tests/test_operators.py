@@ -64,6 +64,26 @@ def test_rfc_8032_signatures():
         assert not ed25519.verify(public, message, signature[:32] + bytes(32))
 
 
+def test_signatures_of_many_keys_and_of_few():
+    import random
+
+    from attestry.functions import ed25519 as ed
+
+    rng = random.Random(5)
+    seeds = [rng.randbytes(32) for _ in range(2)] * 70 + [rng.randbytes(32) for _ in range(5)]
+    messages = [rng.randbytes(i % 40) for i in range(len(seeds))]
+    keys, made = [ed.public_key(s) for s in seeds], ed.sign_all(seeds, messages)
+    assert made[:5] == [ed.sign(s, m) for s, m in zip(seeds[:5], messages[:5], strict=True)] and all(ed.verify_all(keys, messages, made))
+    # of keys that sign often and of such as don't: an edited message, part, number, one past the order, another form of the point, no key
+    one = (1).to_bytes(32, "little")
+    for at in (0, len(seeds) - 1):
+        key, m, s = keys[at], messages[at], made[at]
+        past = s[:32] + (int.from_bytes(s[32:], "little") + ed.ORDER).to_bytes(32, "little")
+        odd = [(key, m + b"x", s), (key, m, bytes([s[0] ^ 1]) + s[1:]), (key, m, s[:40] + bytes([s[40] ^ 4]) + s[41:]), (key, m, past), (key, m, s[:63]), (b"k", m, s), (b"\xff" * 32, m, s), (one, m, (ed.P + 1).to_bytes(32, "little") + bytes(32))]
+        got = ed.verify_all(*map(list, zip(*odd, *zip(keys, messages, made, strict=True), (one, m, one + bytes(32)), strict=False)))
+        assert got == [False] * len(odd) + [True] * (len(seeds) + 1)
+
+
 def test_canonical_json():
     from attestry.functions import canonical
 
