@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 
 from attestry.functions import canonical, ed25519
 from attestry.operators import logs
+from attestry.session import stored
 
 SIGNATURE, ACTOR, HANDOFF = "SIGNATURE_INVALID", "UNKNOWN_ACTOR", "HANDOFF_MISMATCH"
 HOP_REPLAY, HOP_GAP = "HOP_REPLAY", "HOP_GAP"
@@ -61,7 +62,14 @@ def verify_custody(hops: DataFrame, keyring: DataFrame, message: str = "record_h
     actor, input_digest, output_digest, prev_hash, record_hash, ts, signature.
 
     A malformed hop (a null in any of ``HOP_FIELDS``) is reported and otherwise passed over: the next good hop follows the last good one.
+    The hops are stored first: every check reads them, and what makes them, signatures for one, may be dear.
     """
+    needed = ["chain", "idx", *(c if c != "actor_id" else actor for c in HOP_FIELDS), message]
+    if content_hash is not None:
+        hops, content_hash = hops.withColumn("_content", content_hash), F.col("_content")
+        needed.append("_content")
+    hops = hops.select(*dict.fromkeys(needed))
+    hops = stored(hops.withColumns({c: F.col(c).cast("string") for c, kind in hops.dtypes if kind == "void"}), "hops")
     ok = F.lit(True)
     for c in HOP_FIELDS:
         ok = ok & F.col(c if c != "actor_id" else actor).isNotNull()

@@ -84,6 +84,24 @@ def test_signatures_of_many_keys_and_of_few():
         assert got == [False] * len(odd) + [True] * (len(seeds) + 1)
 
 
+def test_custody_reads_its_hops_once(spark):
+    from attestry.operators import custody
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(40).select(F.lit("c").alias("chain"), F.col("id").alias("idx"), F.col("id").cast("string").alias("text"))
+    h = custody.chained(rows, "text").select("*", F.lit("a").alias("actor_id"), F.lit("0").alias("input_digest"), F.lit("1").alias("output_digest"), F.lpad("text", 4, "0").alias("ts"), F.lit(None).alias("signature"))
+    keys = spark.createDataFrame([("a", bytearray(32))], "actor_id string, key binary")
+    got = custody.verify_custody(h.withColumn("signature", F.when(F.col("idx") != 7, slow("text")).cast("binary")), keys).collect()
+    assert seen.value in (39, 40) and {r["code"] for r in got if r["idx"] == 7} == {logs.MALFORMED} and len(got) > 80
+    assert {r["code"] for r in custody.verify_custody(h, keys).collect()} == {logs.MALFORMED}
+
+
 def test_canonical_json():
     from attestry.functions import canonical
 
